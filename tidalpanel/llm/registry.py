@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidalpanel.llm import exact_dedup
+from tidalpanel.llm import exact_dedup, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op6_simhash_near_dedup": simhash.query,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
