@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalpanel.llm.components import components
-from tidalpanel.llm.shared import discard, stage
+from tidalpanel.llm.shared import filter_words, maybe_member, stage
 
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
+#: Bits of the filter behind deduplicate(): at most 2**17 words.
+FILTER_BITS = 23
 #: Seed of XXH64.
 SEED = 42
 #: (first bit, bits) of the segments.
@@ -78,13 +80,15 @@ def fingerprint(text: str | None, width: int) -> int:
 def fingerprints(docs: DataFrame, width: int = 5, key: str = "doc_id") -> DataFrame:
     """(key, fp) with fp as a signed long, one row a document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({key: batch[key], "fp": fps})
+    return docs.select(key, _fingerprint_udf(width)("text").alias("fp"))
+
+
+def _fingerprint_udf(width: int):
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, fp long")
+    return of
 
 
 def _golay_errors() -> np.ndarray:
@@ -182,6 +186,26 @@ def groups(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
+    """docs with one document of each component: that with the smallest id (of repeated
+    rows one). Only rows of fingerprints that are shared or linked meet in a shuffle;
+    a bounded filter lets the others pass with their whole texts."""
+    marked = docs.withColumn("x_fp", _fingerprint_udf(width)("text"))
+    prints = stage(marked.select("doc_id", "x_fp"), "simhash-prints").withColumnRenamed("x_fp", "fp")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = components(links(classes, distance))
+    named = classes.join(found, classes.fp == found.node, "left").select("fp", "least", "n", "node", F.coalesce("root", "fp").alias("root"))
+    named = stage(named, "simhash-classes")
+    roots = named.groupBy("root").agg(F.min("least").alias("keep_id"), F.sum("n").alias("size"))
+    grouped = stage(named.join(roots.filter("size > 1"), "root").select(F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.col("keep_id").alias("x_keep")), "simhash-grouped")
+    words = stage(filter_words(grouped, F.xxhash64("x_fp"), FILTER_BITS), "simhash-filter")
+    split = maybe_member(marked, words, F.xxhash64("x_fp"), FILTER_BITS, keep_rest=True)
+    met = split.filter("f_hit").join(grouped, "x_fp", "left")
+    single = met.filter("x_root is null").select(docs.columns)
+    first = met.filter("x_root is not null and x_keep <=> doc_id").dropDuplicates(["x_root"]).select(docs.columns)
+    return split.filter("not f_hit").select(docs.columns).unionByName(single).unionByName(first)
+
+
 def query(spark, sf_dir):
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
