@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidalpanel.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from tidalpanel.llm import bpe, exact_dedup, mixing, simhash, token_files, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op3_mix_sources": mixing.query,
     "op4_toxicity": toxicity.query,
+    "op5_token_files": token_files.query,
     "op6_simhash_near_dedup": simhash.query,
     "op8_byte_bpe": bpe.query,
 }
