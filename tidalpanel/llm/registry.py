@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidalpanel.llm import bpe, exact_dedup, mixing, simhash, token_files, toxicity
+from tidalpanel.llm import bpe, exact_dedup, mixing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op5_token_files": token_files.query,
     "op6_simhash_near_dedup": simhash.query,
     "op8_byte_bpe": bpe.query,
+    "op9_warc_derivatives": warc.query,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_mix_sources": mixing.SQL,
+    "op9_warc_derivatives": warc.SQL,
 }
