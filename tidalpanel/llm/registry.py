@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidalpanel.llm import bpe, exact_dedup, mixing, simhash, token_files, toxicity, warc
+from tidalpanel.llm import ann, bpe, exact_dedup, mixing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_token_files": token_files.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op7_rotated_one_bit_ann": ann.query,
     "op8_byte_bpe": bpe.query,
     "op9_warc_derivatives": warc.query,
 }
