@@ -25,8 +25,9 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -38,12 +39,14 @@ from pyspark.sql.types import BinaryType
 from tidalpanel.llm.shared import shared_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 #: Least number of shards of the words.
 SHARDS = 64
 #: Distinct words that a shard's task remembers; a word is encoded anew only after so many others.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
+#: Makes rows of the ids of a block's documents, in their order.
+Consumer = Callable[[Iterator[np.ndarray]], pd.DataFrame]
 _encoders: dict = {}
 
 
@@ -98,6 +101,18 @@ def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list,
         yield ids, texts
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows for what runs inside: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "500")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _cut(spark: SparkSession, docs: DataFrame, pattern: str, shards: int, buckets: int, block_chars: int) -> str:
     """Step 1. A bucketed table (block, shard, words, doc_id, sequence); shard -1 marks documents. Returns its name."""
 
@@ -110,50 +125,55 @@ def _cut(spark: SparkSession, docs: DataFrame, pattern: str, shards: int, bucket
         for k, (ids, texts) in enumerate(_blocks(batches, block_chars)):
             block = (task.partitionId() << 32) + k
             number: dict[str, int] = {}
-            cut = [np.fromiter((number.setdefault(w, len(number)) for w in find(t)), np.int64) for t in texts]
+            cut = [np.fromiter((number.setdefault(w, len(number)) for w in find(t)), np.int32) for t in texts]
+            del texts
             words = [w.encode() for w in number]
-            seen = np.bincount(np.concatenate(cut), minlength=len(words)) if words else np.zeros(0, np.int64)
+            del number
+            seen = np.zeros(len(words), np.int64)
+            for c in cut:
+                np.add.at(seen, c, 1)
             shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
             # numbers by frequency pack well; a shard's words keep that order
             order = np.argsort(-seen, kind="stable")
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            rows = [(block, -1, None, i, pack_arrays(_planes(place[c]))) for i, c in zip(ids, cut, strict=True)]
-            for s in np.unique(shard):
-                mine = order[shard[order] == s]
+            sequences = [pack_arrays(planes(place[c])) for c in cut]
+            yield pd.DataFrame({"block": block, "shard": -1, "words": None, "doc_id": pd.array(ids, "Int64"), "sequence": sequences})
+            by_shard = order[np.argsort(shard[order], kind="stable")]
+            rows = []
+            for mine in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1) if words else []:
                 chosen = [words[j] for j in mine]
-                lengths = np.fromiter(map(len, chosen), "<u4", len(chosen))
-                rows.append((block, int(s), pack_arrays(lengths, np.frombuffer(b"".join(chosen), np.uint8), place[mine].astype("<u4")), None, None))
+                lengths = np.fromiter(map(len, chosen), np.int64, len(chosen))
+                rows.append((block, int(shard[mine[0]]), pack_arrays(planes(lengths), planes(np.diff(place[mine], prepend=0)), np.frombuffer(b"".join(chosen), np.uint8)), None, None))
             yield pd.DataFrame(rows, columns=["block", "shard", "words", "doc_id", "sequence"]).astype({"doc_id": "Int64"})
 
     name = f"bpe_cut_{uuid.uuid4().hex}"
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "block long, shard int, words binary, doc_id long, sequence binary")
     writer = out.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/staged/{name}").option("compression", "uncompressed")
-    writer.format("parquet").saveAsTable(name)
+    with _small_batches(spark):
+        writer.format("parquet").saveAsTable(name)
     return name
 
 
-def _planes(numbers: np.ndarray) -> np.ndarray:
-    """Numbers below 2**24 as three byte planes, low bytes first; zeros pack to nothing."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).ravel()
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below 2**32 as four byte planes, low bytes first; planes of zeros pack to nothing."""
+    return np.ascontiguousarray(np.asarray(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
 
 
-def _numbers(planes: np.ndarray) -> np.ndarray:
-    low = planes.reshape(3, -1).astype(np.int64)
-    return low[0] | low[1] << 8 | low[2] << 16
+def from_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _answer(asked: DataFrame, raw, pattern: str, shards: int) -> DataFrame:
-    """Step 2: (block, place, ids) for each row of asked words; equal words meet in one task."""
+    """Step 2: each row of asked words with their ids; equal words meet in one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(raw.value, pattern)._encode_single_piece
-        memo: dict[bytes, np.ndarray] = {}
+        memo: dict[bytes, bytes] = {}
         for batch in batches:
-            rows = []
             for block, blob in zip(batch["block"], batch["words"], strict=True):
-                lengths, data, place = unpack_arrays(blob, "<u4", "u1", "<u4")
-                data, ends = data.tobytes(), np.cumsum(lengths).tolist()
+                lengths, steps, data = unpack_arrays(blob, "u1", "u1", "u1")
+                ends, data = np.cumsum(from_planes(lengths)).tolist(), data.tobytes()
                 ids = []
                 for a, b in zip([0, *ends[:-1]], ends, strict=True):
                     word = data[a:b]
@@ -161,51 +181,74 @@ def _answer(asked: DataFrame, raw, pattern: str, shards: int) -> DataFrame:
                     if found is None:
                         if len(memo) >= MEMO_WORDS:
                             memo.clear()
-                        found = memo[word] = encode(word)
+                        found = memo[word] = np.array(encode(word), "<u4").tobytes()
                     ids.append(found)
-                counts = np.fromiter(map(len, ids), "<u4", len(ids))
-                flat = np.fromiter((i for found in ids for i in found), "<u4", int(counts.sum()))
-                rows.append((block, pack_arrays(place, counts, flat)))
-            yield pd.DataFrame(rows, columns=["block", "answer"])
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                yield pd.DataFrame({"block": [block], "answer": [pack_arrays(steps, planes(counts), planes(flat))]})
 
     return asked.select("block", "shard", "words").repartition(shards, "shard").mapInPandas(run, "block long, answer binary")
 
 
-def _assemble(key, documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Step 3, for one block."""
-    documents = documents[documents["shard"] < 0]
-    parts = [unpack_arrays(b, "<u4", "<u4", "<u4") for b in answers["answer"]]
-    n = sum(len(p[0]) for p in parts)
-    counts = np.zeros(n, np.int64)
-    starts = np.zeros(n, np.int64)
-    base = 0
-    for place, c, flat in parts:
-        counts[place] = c
-        starts[place] = base + np.cumsum(c, dtype=np.int64) - c
-        base += len(flat)
-    flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
-    out = []
-    for blob in documents["sequence"]:
-        at = _numbers(unpack_arrays(blob, "u1")[0])
-        many = counts[at]
-        ends = np.cumsum(many)
-        take = np.repeat(starts[at] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)
-        out.append(flat[take].astype("<u4").tobytes())
-    return pd.DataFrame({"doc_id": documents["doc_id"].astype("Int64"), "ids": out})
-
-
-def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, ids) for every row of docs: ids are little-endian unsigned 32-bit integers, one after another."""
+def _assembler(consume: Consumer):
+    """Step 3, for one block: its documents' ids by position, handed to consume."""
+
+    def run(key, documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        parts = [[from_planes(x) for x in unpack_arrays(b, "u1", "u1", "u1")] for b in answers["answer"]]
+        n = sum(len(p[0]) for p in parts)
+        counts, starts, base = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        for steps, many, flat in parts:
+            place = np.cumsum(steps)
+            counts[place] = many
+            starts[place] = base + np.cumsum(many) - many
+            base += len(flat)
+        flat = np.concatenate([p[2] for p in parts]).astype("<u4") if parts else np.zeros(0, "<u4")
+        del parts
+
+        def ids() -> Iterator[np.ndarray]:
+            for blob in documents["sequence"]:
+                at = from_planes(unpack_arrays(blob, "u1")[0])
+                many = counts[at]
+                ends = np.cumsum(many)
+                yield flat[np.repeat(starts[at] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+        out = consume(ids())
+        out.insert(0, "doc_id", documents["doc_id"].astype("Int64").to_numpy(object))
+        return out
+
+    return run
+
+
+def encode_blocks(docs: DataFrame, consume: Consumer, schema: str, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id with the columns of schema that consume makes of a block's documents, given each one's ids."""
     spark = docs.sparkSession
     raw = spark.sparkContext.broadcast(read_ranks(ranks or public_tokenizers.path(RANKS)))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(SHARDS, 2 * buckets)
-    name = _cut(spark, docs, pattern, shards, buckets, block_chars)
-    cut = spark.table(name)
+    cut = spark.table(_cut(spark, docs, pattern, shards, buckets, block_chars))
     answers = _answer(cut.filter("shard >= 0"), raw, pattern, shards)
-    return (
-        cut.filter("shard < 0").select("block", "shard", "doc_id", "sequence").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_assemble, "doc_id long, ids binary")
-    )
+    documents = cut.filter("shard < 0").select("block", "doc_id", "sequence")
+    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_assembler(consume), f"doc_id long, {schema}")
+
+
+def _ids_column(ids: Iterator[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"ids": [x.tobytes() for x in ids]}, dtype=object)
+
+
+def encode(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, ids) for every row of docs: ids are little-endian unsigned 32-bit integers, one after another."""
+    return encode_blocks(docs, _ids_column, "ids binary", **options)
+
+
+class TokenBytes:
+    """The token-byte table, looked up by id."""
+
+    def __init__(self, raw: bytes):
+        table = {i: b for b, i in _table(raw).items()}
+        self.token = [table.get(i, b"") for i in range(max(table) + 1)]
+
+    def join(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.token[i] for i in ids.tolist()])
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -214,28 +257,23 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     @F.pandas_udf(BinaryType())
     def to_bytes(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = {i: b for b, i in _table(raw.value).items()}
-        token = [table.get(i, b"") for i in range(max(table) + 1)]
+        table = TokenBytes(raw.value)
         for series in ids:
-            yield pd.Series([b"".join([token[i] for i in np.frombuffer(blob, "<u4").tolist()]) for blob in series], dtype=object)
+            yield pd.Series([table.join(np.frombuffer(blob, "<u4")) for blob in series], dtype=object)
 
     return encoded.withColumn("data", to_bytes("ids"))
 
 
-@F.pandas_udf(BinaryType())
-def decimal_text(ids: pd.Series) -> pd.Series:
-    """Ids in decimal, joined by one space."""
-    return pd.Series([" ".join(map(str, np.frombuffer(blob, "<u4").tolist())).encode() for blob in ids], dtype=object)
+def digests(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_tokens, the hash of the ids in decimal and that of the bytes decoded from them; made where the ids are."""
+    raw = docs.sparkSession.sparkContext.broadcast(read_ranks(options.get("ranks") or public_tokenizers.path(RANKS)))
 
+    def consume(ids: Iterator[np.ndarray]) -> pd.DataFrame:
+        table = TokenBytes(raw.value)
+        rows = [(len(x), sha256(" ".join(map(str, x.tolist())).encode()).hexdigest(), sha256(table.join(x)).hexdigest()) for x in ids]
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-def digests(docs: DataFrame, **options) -> DataFrame:
-    both = decode(encode(docs, **options))
-    return both.select(
-        "doc_id",
-        F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"),
-        F.sha2(decimal_text("ids"), 256).alias("ids_sha256"),
-        F.sha2("data", 256).alias("decoded_sha256"),
-    )
+    return encode_blocks(docs, consume, "n_tokens long, ids_sha256 string, decoded_sha256 string", **options)
 
 
 def query(spark, sf_dir):
