@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidalpanel.llm import ann, bpe, exact_dedup, mixing, pii, simhash, token_files, toxicity, warc
+from tidalpanel.llm import ann, bpe, exact_dedup, mixing, pii, quality, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op10_kneser_ney_quality": quality.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_mix_sources": mixing.query,
     "op4_toxicity": toxicity.query,
