@@ -35,7 +35,7 @@ def test_odd_rows(spark):
     data = [(i, f"some words here {'vile rot' if i % 3 == 0 else 'fine day'} number{i}", "x") for i in range(200)]
     data += [(None, None, "x"), (1001, "", "x"), (1001, "", "x"), (1002, "vile " * 50_000, "x")]
     docs = spark.createDataFrame(data, "doc_id long, text string, score string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0), 9) for i in range(200)] + [(None, 1, 1), (7, None, 1)], "doc_id long, toxic int, lang int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 9) for i in range(200)] + [(None, 1, 1), (7, None, 1), (1001, 1, 0)], "doc_id long, toxic int, lang int")
     got = tox.scores(docs, labels).collect()
     assert len(got) == len(data)
     assert all(r.predicted == (r.doc_id is not None and (r.doc_id == 1002 or r.doc_id < 200 and r.doc_id % 3 == 0)) for r in got)

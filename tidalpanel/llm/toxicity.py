@@ -189,7 +189,7 @@ def _toxic_words(texts: DataFrame) -> DataFrame:
                 run_of = (text or "").lower().split()
                 sig = min((zlib.crc32(" ".join(run_of[i : i + 3]).encode()) for i in range(max(1, len(run_of) - 2))), default=0)
                 found = sorted(_words(text))
-                yield pd.DataFrame({"word": found, "sig": np.full(len(found), sig, np.int64)})
+                yield pd.DataFrame({"word": pd.Series(found, dtype=object), "sig": np.full(len(found), sig, np.int64)})
 
     return texts.select("text").mapInPandas(run, "word string, sig long")
 
@@ -207,7 +207,7 @@ def _clean_counts(texts: DataFrame, names: list[str]) -> dict[str, int]:
                 found = {w for w in _words(text) if w[:cut] in heads}
                 for name in (found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}) & wanted:
                     n[name] = n.get(name, 0) + 1
-            yield pd.DataFrame({"name": list(n), "n": np.fromiter(n.values(), np.int64, len(n))})
+            yield pd.DataFrame({"name": pd.Series(list(n), dtype=object), "n": np.fromiter(n.values(), np.int64, len(n))})
 
     return {r["name"]: r["n"] for r in texts.select("text").mapInPandas(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()}
 
