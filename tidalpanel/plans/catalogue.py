@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidalpanel.functions import windows as w
-from tidalpanel.operators import align, evaluation, preprocess, transforms
+from tidalpanel.operators import align, evaluation, preprocess, stats, transforms
+from tidalpanel.operators import models as models_
 from tidalpanel.plans import panels
 from tidalpanel.plans.panels import dense_sql
 
@@ -590,3 +591,76 @@ def _(spark, d):
     e = panels.read(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("s.start"))
     return e.select("user_id", k.cast("long").alias("k"), "n")
+
+
+# ---- tests and models that SQL cannot express
+
+
+@query("stationarity")
+def _(spark, d):
+    return shown(stats.stationarity(panels.lineitem_month(spark, d).unionByName(pw(spark, d))))
+
+
+PAIR_ROWS = [("af_rf", "AF", "RF"), ("no_af", "NO", "AF"), ("no_rf", "NO", "RF")]
+
+
+@query("cointegration")
+def _(spark, d):
+    out = stats.cointegration(panels.lineitem_month(spark, d), spark.createDataFrame(PAIR_ROWS, "name string, a string, b string"))
+    return shown(out.withColumn("weight", stats.pair_weight(F.col("name"), F.col("eg_p"), F.lit(None).cast("double"))))
+
+
+@query("error_correction")
+def _(spark, d):
+    """a - beta * b by the pair's vector, its expanding score and changes."""
+    panel, pairs = lm(spark, d), spark.createDataFrame(PAIR_ROWS, "name string, a string, b string")
+    found = stats.cointegration(panels.lineitem_month(spark, d), pairs).select("name", "beta").join(pairs, "name")
+    x, y = panel.selectExpr("period", "series as a", "value as va"), panel.selectExpr("period", "series as b", "value as vb")
+    ect = x.join(F.broadcast(found), "a").join(y, ["period", "b"]).select("period", F.col("name").alias("series"), (F.col("va") - F.col("beta") * F.col("vb")).alias("value"))
+    changes = [(v() - transforms.lag(v(), k)).alias(f"chg_{k}") for k in (1, 3, 6)]
+    return shown(ect.select("period", "series", "value", w.zscore(v(), w.expanding()).alias("zscore"), *changes))
+
+
+@query("feature_clusters")
+def _(spark, d):
+    long = transforms.momentum(lm(spark, d)).withColumnRenamed("feature", "series")
+    return stats.clusters(evaluation.spearman_matrix(long), 10)
+
+
+def design(spark, d) -> tuple[DataFrame, list[str]]:
+    """Momentum of the weekly price as features, the return of the next four weeks as target."""
+    p = pw(spark, d)
+    features = transforms.momentum(p, (3, 6))
+    names = [f"price_{k}_{n}M" for n in (3, 6) for k in ("chg", "zscore")]
+    target = p.select("period", F.log(F.lead("value", 4).over(w.by_series()) / v()).alias("y"))
+    return models_.wide(features, names).join(target, "period"), names
+
+
+@query("linear_models")
+def _(spark, d):
+    data, names = design(spark, d)
+    rows = models_.vectors(data.dropna(subset=["y"]), names)
+    out = []
+    for name in ("ridge", "lasso", "elastic_net"):
+        fitted = models_.FACTORIES[name](rows)
+        out += [(name, f, float(c)) for f, c in zip(names, fitted.coefficients.toArray(), strict=True)] + [(name, "intercept", float(fitted.intercept))]
+    return shown(spark.createDataFrame(out, "model string, feature string, coefficient double"), 5)
+
+
+@query("tree_importances")
+def _(spark, d):
+    data, names = design(spark, d)
+    rows = models_.vectors(data.dropna(subset=["y"]), names)
+    out = [(m, f, x) for m, fitted in (("random_forest", models_.random_forest(rows, 20)), ("boosting", models_.boosting(rows, 10))) for f, x in models_.importances(fitted, names)]
+    return shown(spark.createDataFrame(out, "model string, feature string, importance double"), 5)
+
+
+@query("tournament")
+def _(spark, d):
+    data, names = design(spark, d)
+    return shown(models_.leaderboard(models_.tournament(data, names, ("ridge", "lasso"), train=36, validate=12, step=12)), 5)
+
+
+@query("placebo_test")
+def _(spark, d):
+    return shown(models_.placebo(forecasts(spark, d), 200, 7, "series"))
