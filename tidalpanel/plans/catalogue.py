@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidalpanel.functions import windows as w
-from tidalpanel.operators import align, evaluation, preprocess, stats, transforms
+from tidalpanel.operators import align, evaluation, preprocess, stats, transforms, validation
 from tidalpanel.operators import models as models_
 from tidalpanel.plans import panels
 from tidalpanel.plans.panels import dense_sql
@@ -664,3 +664,66 @@ def _(spark, d):
 @query("placebo_test")
 def _(spark, d):
     return shown(models_.placebo(forecasts(spark, d), 200, 7, "series"))
+
+
+@query("block_bootstrap")
+def _(spark, d):
+    return shown(validation.block_bootstrap(forecasts(spark, d), 6, 200, 42, "series"))
+
+
+@query("romano_wolf")
+def _(spark, d):
+    return shown(validation.romano_wolf(models(spark, d).filter("series = '5-LOW' and month(period) > 2"), 6, 200))
+
+
+@query("nested_cv")
+def _(spark, d):
+    data, names = design(spark, d)
+    return shown(validation.nested(data, names, ("ridge", "lasso"), 2, 48, 12, 1, train=24, validate=12, step=12), 5)
+
+
+@query("pair_stability")
+def _(spark, d):
+    return shown(validation.rolling_stability(panels.lineitem_month(spark, d), spark.createDataFrame(PAIR_ROWS, "name string, a string, b string"), 36, 12))
+
+
+CLUSTER_ROWS = [("1-URGENT", 1), ("2-HIGH", 1), ("3-MEDIUM", 2), ("4-NOT SPECIFIED", 2), ("5-LOW", 2)]
+
+
+@query(
+    "cluster_representatives",
+    f"WITH {PD}, c(series, cluster) AS (VALUES " + ", ".join(map(str, CLUSTER_ROWS)) + "), s AS (SELECT cluster, series, var_samp(value) AS v FROM pm_d JOIN c USING (series) WHERE value IS NOT NULL GROUP BY 1, 2) SELECT cluster, 'variance' AS how, arg_max(series, v) AS series FROM s GROUP BY cluster UNION ALL SELECT cluster, 'first', min(series) FROM s GROUP BY cluster",
+)
+def _(spark, d):
+    clusters = spark.createDataFrame(CLUSTER_ROWS, "feature string, cluster int")
+    parts = [validation.representatives(pm(spark, d), clusters, how).select("cluster", F.lit(how).alias("how"), "series") for how in ("variance", "first")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "vintage_scores",
+    f"""WITH {PD}, m AS (SELECT DISTINCT period AS vintage FROM pm_d WHERE month(period) % 6 = 0), x AS (SELECT vintage, p.* FROM m JOIN pm_d p ON p.period <= vintage),
+s AS (SELECT *, last_value(value IGNORE NULLS) OVER o AS filled, CASE WHEN count(value) OVER o >= 2 THEN (value - avg(value) OVER o) / nullif(stddev_samp(value) OVER o, 0) END AS z FROM x WINDOW o AS (PARTITION BY vintage, series ORDER BY period))
+SELECT CAST(vintage AS VARCHAR) AS vintage, series, CAST(period AS VARCHAR) AS period, round(filled, 2) AS filled, round(z, 6) AS zscore FROM s WHERE period = vintage""",
+)
+def _(spark, d):
+    out = validation.known_at(validation.truncated(pm(spark, d)))
+    return shown(out.withColumn("filled", F.round("filled", 2)))
+
+
+@query("regime_vote", f"WITH {ED}, c AS (SELECT series, arg_max(value, period) AS cur FROM ed_d WHERE value IS NOT NULL GROUP BY series), p AS (SELECT e.series, avg(CAST(value < cur AS DOUBLE)) * 100 AS p FROM ed_d e JOIN c USING (series) WHERE value IS NOT NULL GROUP BY 1) SELECT count(*) FILTER (p > 60) AS high, count(*) FILTER (p <= 40) AS low, least(99, greatest(1, 50 + 5 * (count(*) FILTER (p > 60) - count(*) FILTER (p <= 40)))) AS probability FROM p")
+def _(spark, d):
+    return validation.regime_vote(evaluation.percentile_signal(ed(spark, d)))
+
+
+@query("base_features")
+def _(spark, d):
+    panel = lm(spark, d)
+    codes = panel.select("series").distinct().withColumn("code", F.when(F.col("series") == "AF", 5).otherwise(2))
+    return shown(validation.base_features(panel, codes, spark.createDataFrame(PAIRS, "name string, left string, right string, kind string")))
+
+
+@query("alignment_report", f"WITH {FC} SELECT count(*) AS rows, CAST(min(t.period) AS VARCHAR) AS first, CAST(max(t.period) AS VARCHAR) AS last, CAST(0 AS BIGINT) AS look_ahead FROM pm_d f JOIN fc t ON t.period = CAST(f.period + INTERVAL 2 MONTH AS DATE) WHERE t.series = '5-LOW'")
+def _(spark, d):
+    t = forecasts(spark, d).filter("series = '5-LOW'").select("period", F.col("series").alias("target"), "actual")
+    return shown(validation.alignment(pm(spark, d), t, 2))
