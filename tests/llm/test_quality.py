@@ -84,3 +84,14 @@ def test_few_labels_and_no_documents(spark):
     got = {r.doc_id: r for r in q.scores(docs, labels).collect()}
     assert got[1].kept and got[1].perplexity == pytest.approx(1.0) and not got[2].kept
     assert q.scores(docs.limit(0), labels).count() == 0
+
+
+def test_slices_lose_nothing(monkeypatch):
+    monkeypatch.setattr(q, "SLICE", 7)
+    texts = ["", "abc", "a longer text than a slice", "x" * 50]
+    pieces = [p for group in q._groups((True, t) for t in texts) for _, p in group]
+    got = Counter(c for p in pieces for c in q.codes(p).tolist())
+    assert got == Counter(c for t in texts for c in q.codes(q.points(t)).tolist())
+    parts = [q._distinct(g) for g in q._groups((True, t) for t in texts)]
+    assert sum(int(n.sum()) for _, _, n in parts) == sum(map(len, texts))
+    assert all((q._gram_codes(g) == c).all() for c, g, _ in parts)

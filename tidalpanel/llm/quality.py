@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import shared_dir, stage
+from tidalpanel.llm.shared import bounded_batches, shared_dir, stage
 
 ORDER = 4
 BLOCK_CHARS = 1 << 23
@@ -41,7 +41,7 @@ SHARDS = 64
 QUANTILE = 0.99
 #: Stands before a text, ORDER - 1 times; not a character of any text.
 PAD = 0x10FFFF
-#: Documents whose codes are looked up at a time, in characters.
+#: Characters whose codes are in memory at a time.
 SLICE = 1 << 20
 
 # Odd 64-bit multipliers of the rolling code, one for each place.
@@ -115,12 +115,7 @@ def _pack_documents(docs: DataFrame, buckets: int) -> str:
     name = f"kn_blocks_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     out = rows.mapInPandas(run, "block long, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    try:
-        out.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/staged/{name}").option("compression", "uncompressed").format("parquet").saveAsTable(name)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    out.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/staged/{name}").option("compression", "uncompressed").format("parquet").saveAsTable(name)
     return name
 
 
@@ -131,23 +126,46 @@ def _texts(row) -> Iterator[str]:
         at += n
 
 
+def _groups(texts: Iterator[tuple[bool, str]]) -> Iterator[list[tuple[bool, np.ndarray]]]:
+    """Padded pieces of texts with their marks, together about SLICE characters; pieces of a long text overlap by ORDER - 1."""
+    held, size = [], 0
+    for mark, text in texts:
+        p = points(text)
+        for a in range(0, max(1, len(p) - ORDER + 1), SLICE):
+            piece = p[a : a + SLICE + ORDER - 1]
+            held.append((mark, piece))
+            size += len(piece)
+            if size >= SLICE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _distinct(group: list[tuple[bool, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, n-grams, counts in marked pieces) of the distinct n-grams of a group."""
+    every = np.concatenate([codes(p) for _, p in group])
+    ends = np.concatenate([np.arange(ORDER - 1, len(p)) + at for (_, p), at in zip(group, np.cumsum([0, *[len(p) for _, p in group[:-1]]]), strict=True)])
+    marked = np.repeat([m for m, _ in group], [len(p) - ORDER + 1 for _, p in group])
+    distinct, first = np.unique(every, return_index=True)
+    n = np.bincount(np.searchsorted(distinct, every[marked]), minlength=len(distinct))
+    joined, last = np.concatenate([p for _, p in group]), ends[first]
+    grams = np.stack([joined[last - ORDER + 1 + k] for k in range(ORDER)], axis=1) if len(first) else np.zeros((0, ORDER), "<u4")
+    return distinct, grams, n
+
+
 def _questions(blocks: DataFrame, trusted: DataFrame, shards: int) -> DataFrame:
     """Step 2: (block, shard, grams, counts): the distinct n-grams of a block in order of their codes."""
 
     def run(key, documents: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple] = []
         learn = set(flags["doc_id"].tolist())
         for row in documents.itertuples():
-            padded = [points(t) for t in _texts(row)]
-            mine = [i in learn for i in row.doc_ids]
-            every = np.concatenate([codes(p) for p in padded])
-            ends = np.concatenate([np.arange(ORDER - 1, len(p)) + at for p, at in zip(padded, np.cumsum([0, *map(len, padded[:-1])]), strict=True)])
-            counted = np.repeat(mine, [len(p) - ORDER + 1 for p in padded])
-            distinct, first = np.unique(every, return_index=True)
-            n = np.bincount(np.searchsorted(distinct, every[counted]), minlength=len(distinct))
-            del every, counted
-            joined, last = np.concatenate(padded), ends[first]
-            grams = np.stack([joined[last - ORDER + 1 + k] for k in range(ORDER)], axis=1) if len(first) else np.zeros((0, ORDER), "<u4")
+            found = [_distinct(group) for group in _groups((i in learn, t) for i, t in zip(row.doc_ids, _texts(row), strict=True))]
+            every, first, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([f[2] for f in found]), len(every)).astype(np.int64)
+            grams, distinct = np.concatenate([f[1] for f in found])[first], every
+            del found, inverse
             shard = (distinct % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
@@ -269,18 +287,19 @@ def _scored(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
         parts = {int(r.shard): _from_planes(_unpack(r.logps), "<f4").astype(np.float64) for r in found.itertuples()}
         out: list[tuple] = []
         for row in documents.itertuples():
-            padded = [points(t) for t in _texts(row)]
-            distinct = np.unique(np.concatenate([codes(p) for p in padded]))
+            parts_of = [np.unique(np.concatenate([codes(p) for _, p in group])) for group in _groups((False, t) for t in _texts(row))]
+            distinct = np.unique(np.concatenate(parts_of))
             shard = (distinct % np.uint64(shards)).astype(np.int64)
             logp = np.zeros(len(distinct))
             order = np.argsort(shard, kind="stable")
             logp[order] = np.concatenate([parts[s] for s in sorted(parts)]) if parts else 0.0
-            sums = []
-            for p in padded:
-                mine = codes(p)
-                sums.append(sum(float(logp[np.searchsorted(distinct, mine[a : a + SLICE])].sum()) for a in range(0, len(mine), SLICE)))
+            sums, sizes = [], []
+            for text in _texts(row):
+                p = points(text)
+                sizes.append(len(p) - ORDER + 1)
+                sums.append(sum(float(logp[np.searchsorted(distinct, codes(p[a : a + SLICE + ORDER - 1]))].sum()) for a in range(0, sizes[-1], SLICE)))
             ids = [None if x is None or x != x else int(x) for x in row.doc_ids]
-            out += zip(ids, row.langs, [len(p) - ORDER + 1 for p in padded], sums, strict=True)
+            out += zip(ids, row.langs, sizes, sums, strict=True)
         return pd.DataFrame(out, columns=["doc_id", "lang", "n_chars", "log_prob"], dtype=object)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "doc_id long, lang string, n_chars long, log_prob double")
@@ -295,6 +314,7 @@ def _trusted(labels: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_chars, log_prob, perplexity, threshold, kept) for every row of docs."""
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(SHARDS, 2 * buckets)
     blocks = spark.table(_pack_documents(docs, buckets))

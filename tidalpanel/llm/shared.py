@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/tidalpanel"
+#: Rows and bytes of the Arrow batches that carry texts to Python.
+BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 #: White space of the text contracts, as a Java and RE2 character class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -42,6 +45,22 @@ def discard(*staged: DataFrame) -> None:
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)  # noqa: SLF001
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete everything staged; only when no result that reads it is still needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged")  # noqa: SLF001
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to what a worker can hold of long texts; never raises them.
+
+    Plans read the setting when they run, so it stays set."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
