@@ -26,7 +26,6 @@ import base64
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from hashlib import sha256
 
 import numpy as np
@@ -36,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidalpanel.llm.shared import shared_dir
+from tidalpanel.llm.shared import bounded_batches, shared_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 1 << 23
 #: Least number of shards of the words.
 SHARDS = 64
 #: Distinct words that a shard's task remembers; a word is encoded anew only after so many others.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 #: Makes rows of the ids of a block's documents, in their order.
 Consumer = Callable[[Iterator[np.ndarray]], pd.DataFrame]
@@ -101,18 +100,6 @@ def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list,
         yield ids, texts
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few rows for what runs inside: texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "500")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _cut(spark: SparkSession, docs: DataFrame, pattern: str, shards: int, buckets: int, block_chars: int) -> str:
     """Step 1. A bucketed table (block, shard, words, doc_id, sequence); shard -1 marks documents. Returns its name."""
 
@@ -150,8 +137,7 @@ def _cut(spark: SparkSession, docs: DataFrame, pattern: str, shards: int, bucket
     name = f"bpe_cut_{uuid.uuid4().hex}"
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "block long, shard int, words binary, doc_id long, sequence binary")
     writer = out.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/staged/{name}").option("compression", "uncompressed")
-    with _small_batches(spark):
-        writer.format("parquet").saveAsTable(name)
+    writer.format("parquet").saveAsTable(name)
     return name
 
 
@@ -222,6 +208,7 @@ def _assembler(consume: Consumer):
 def encode_blocks(docs: DataFrame, consume: Consumer, schema: str, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id with the columns of schema that consume makes of a block's documents, given each one's ids."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     raw = spark.sparkContext.broadcast(read_ranks(ranks or public_tokenizers.path(RANKS)))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(SHARDS, 2 * buckets)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalpanel.llm.components import components
-from tidalpanel.llm.shared import filter_words, maybe_member, stage
+from tidalpanel.llm.shared import bounded_batches, filter_words, maybe_member, stage
 
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
@@ -80,10 +80,12 @@ def fingerprint(text: str | None, width: int) -> int:
 def fingerprints(docs: DataFrame, width: int = 5, key: str = "doc_id") -> DataFrame:
     """(key, fp) with fp as a signed long, one row a document."""
 
-    return docs.select(key, _fingerprint_udf(width)("text").alias("fp"))
+    return docs.select(key, _fingerprint_udf(docs.sparkSession, width)("text").alias("fp"))
 
 
-def _fingerprint_udf(width: int):
+def _fingerprint_udf(spark, width: int):
+    bounded_batches(spark)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
@@ -190,7 +192,7 @@ def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame
     """docs with one document of each component: that with the smallest id (of repeated
     rows one). Only rows of fingerprints that are shared or linked meet in a shuffle;
     a bounded filter lets the others pass with their whole texts."""
-    marked = docs.withColumn("x_fp", _fingerprint_udf(width)("text"))
+    marked = docs.withColumn("x_fp", _fingerprint_udf(docs.sparkSession, width)("text"))
     prints = stage(marked.select("doc_id", "x_fp"), "simhash-prints").withColumnRenamed("x_fp", "fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     found = components(links(classes, distance))

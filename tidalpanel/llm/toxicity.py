@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import discard, stage
+from tidalpanel.llm.shared import bounded_batches, discard, stage
 
 SAMPLE_ROWS = 100_000
 LEXICON = 20_000
@@ -266,6 +266,7 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: lexicon, weights by class, intercept."""
+    bounded_batches(docs.sparkSession)
     texts, n_toxic, n_clean = _training(docs, labels)
     lexicon = learn_lexicon(texts, n_toxic, n_clean)
     if not lexicon:
