@@ -14,8 +14,8 @@ encoding, with counts of all ids; ranking (a table of the vocabulary's size); co
 step is a committed table, so a lost executor repeats its own tasks only. Starts come
 from the shards' totals: one row a shard.
 
-The tokenizer file encodes each distinct pre-token once per task and memo (pieces encode
-alone as they do in a text). Strings of special tokens are ordinary text.
+The tokenizers library encodes each distinct word once per task and memo. Strings of
+special tokens are ordinary text.
 
 Defined results: null text is empty (its end id alone); null doc_ids come first; rows of
 one id are ordered by a hash of the text; equal rows are written each; an empty table gives
@@ -37,14 +37,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import discard, shared_dir, stage
+from tidalpanel.llm.shared import bounded_batches, discard, shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Values of a block, or one longer document.
 BLOCK_VALUES = 1 << 20
-#: Pre-tokens that a task remembers.
-MEMO_PIECES = 300_000
+#: Distinct words that a task remembers, and how many new ones are encoded as one text.
+MEMO_PIECES = 500_000
+RUN = 256
 #: Bytes of the values of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -52,32 +53,84 @@ Consumer = Callable[[Iterator[np.ndarray]], pd.DataFrame]
 
 
 class PieceEncoder:
-    """The tokenizers library over distinct pre-tokens."""
+    """The tokenizers library over distinct words.
 
-    def __init__(self, definition: str, pattern: str):
+    The library cuts text before merging, and never across a single space between two characters
+    that are not white space; so a text is split there and each distinct part is encoded
+    once, with its leading space. Parts that touch other white space stay with their neighbours."""
+
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
+        # byte-level vocabularies write each byte as one character
+        size = self.tokenizer.get_vocab_size()
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str | tuple[str], int] = {}
+        self.new: list[str | tuple[str]] = []
         self.counts, self.flat = array("I"), array("I")
 
+    def _number(self, piece: str | tuple[str]) -> int:
+        found = self.number.get(piece)
+        if found is None:
+            found = self.number[piece] = len(self.number)
+            self.new.append(piece)
+        return found
+
+    def _cut(self, text: str) -> list[int]:
+        """Numbers of the parts of a text. All but the first are looked up without their space."""
+        first, *rest = text.split(" ")
+        get = self.number.get
+        out = [get(part, -1) for part in rest]
+        if first and not first[-1].isspace():
+            missed = [k for k, n in enumerate(out) if n < 0] if -1 in out else []
+            if all(part and not part[0].isspace() and not part[-1].isspace() for part in [rest[k] for k in missed]):
+                for k in missed:
+                    out[k] = self._number(rest[k])
+                return [self._number((first,)), *out]
+        whole, joined = [], first
+        for part in rest:
+            if part and joined and not part[0].isspace() and not joined[-1].isspace():
+                whole.append(joined)
+                joined = part
+            else:
+                joined += " " + part
+        whole.append(joined)
+        return [self._number((whole[0],)), *map(self._number, whole[1:])]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encode the new parts: many in one text, as ids never cross the space between
+        two of them; those that start a text or end in white space alone."""
+        new, self.new = self.new, []
+        lone = [k for k, p in enumerate(new) if isinstance(p, tuple) or p[-1:].isspace()]
+        many = np.setdiff1d(np.arange(len(new)), lone).tolist()
+        counts, found = np.zeros(len(new), np.int64), [None] * len(new)
+        for at in range(0, len(lone), RUN):
+            for k, ids in zip(lone[at : at + RUN], self._ids([p[0] if isinstance(p, tuple) else " " + p for p in map(new.__getitem__, lone[at : at + RUN])]), strict=True):
+                found[k], counts[k] = ids, len(ids)
+        runs = [many[at : at + RUN] for at in range(0, len(many), RUN)]
+        for run, ids in zip(runs, self._ids([" " + " ".join([new[k] for k in run]) for run in runs]), strict=True):
+            ends = np.cumsum([len(new[k].encode()) + 1 for k in run])
+            last = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+            for k, a, b in zip(run, [0, *last[:-1].tolist()], last.tolist(), strict=True):
+                found[k], counts[k] = ids[a:b], b - a
+        self.counts.extend(counts.tolist())
+        for ids in found:
+            self.flat.extend(ids)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.number) > MEMO_PIECES:
             self._forget()
-        number, known = self.number, len(self.number)
-        cut = [np.fromiter((number.setdefault(w, len(number)) for w in self.find(t or "")), np.int32) for t in texts]
-        new = list(number)[known:] if len(number) > known else []
-        for found in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
-            ids = found.ids
-            self.counts.append(len(ids))
-            self.flat.extend(ids)
+        cut = [np.array(self._cut(t or ""), np.int32) for t in texts]
+        self._learn()
         counts, flat = np.array(self.counts, np.int64), np.array(self.flat, np.uint32)
         starts = np.cumsum(counts) - counts
         out = []
@@ -125,7 +178,7 @@ def uncode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encoded(docs: DataFrame, definition: str, pattern: str) -> DataFrame:
+def _encoded(docs: DataFrame, definition: str) -> DataFrame:
     """Staged (shard, at, doc_id, n, ids) in order within a shard; a row with n null has the counts of a task's ids."""
     spark = docs.sparkSession
     text = spark.sparkContext.broadcast(definition)
@@ -133,7 +186,7 @@ def _encoded(docs: DataFrame, definition: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, shard, at, counts = PieceEncoder(text.value, pattern), TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+        encoder, shard, at, counts = PieceEncoder(text.value), TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.iloc[k : k + 500]
@@ -175,12 +228,13 @@ def _free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()  # noqa: SLF001
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, pattern: str = public_tokenizers.PATTERN) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Encode docs and write the files to path (any file system that Spark knows)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         definition = f.read()
-    encoded = _encoded(docs, definition, pattern)
+    encoded = _encoded(docs, definition)
     _free(spark)
     ranks = _ranks(encoded)
     spark.createDataFrame(ranks, "id long, rank long").coalesce(1).write.parquet(f"{path}/vocabulary")
