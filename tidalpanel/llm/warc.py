@@ -24,7 +24,7 @@ DATE = "2024-01-01T00:00:00Z"
 
 # Named characters of HTML that are decoded, "&amp;" last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—"}
-HIDDEN = r"(?is)<!--.*?(-->|\z)|<script.*?(</script\s*>|\z)|<style.*?(</style\s*>|\z)"
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script.*?(?:</script\s*>|\z)|style.*?(?:</style\s*>|\z))"
 BREAKS = r"(?i)</?(p|br|div|li|ul|ol|dl|dd|dt|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|title|head|body|html|blockquote|pre|form|figure|hr)(\s[^<>]*|/)?>"
 TAGS = r"<[^<>]*>"
 NUMBERS = r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
@@ -63,12 +63,12 @@ def _replace_number(t: Column, e: Column) -> Column:
     return F.replace(t, e, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("�")))
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: block tags break lines, other tags go, spaces and empty lines collapse."""
-    seen = F.regexp_replace(html, HIDDEN, "")
-    seen = decoded(F.regexp_replace(F.regexp_replace(seen, BREAKS, "\n"), TAGS, ""))
-    seen = F.regexp_replace(seen, r"[\x09\x0B-\x0D\x20]+", " ")
-    return F.btrim(F.regexp_replace(seen, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+def plain_text(visible: Column) -> Column:
+    """Text of a page without its HIDDEN parts: block tags break lines, other tags go, spaces and empty lines collapse."""
+    seen = decoded(F.regexp_replace(F.regexp_replace(visible, BREAKS, "\n"), TAGS, ""))
+    # a lone space is left as it is
+    seen = F.regexp_replace(seen, r"[\x09\x0B-\x0D\x20]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.btrim(F.regexp_replace(seen, r"(?: \n|\n)[ \n]*", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -118,15 +118,15 @@ def derive(records: DataFrame) -> DataFrame:
     out = parse(records).filter("headers['warc-type'] = 'response'")
     names = {"refers_to": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "source_digest": "warc-payload-digest"}
     out = out.select("page_id", *[F.col("headers")[h].alias(c) for c, h in names.items()], F.expr("substring(block, instr(block, '\r\n\r\n') + 4)").alias("html"))
-    visible = F.regexp_replace("html", HIDDEN, "")
-    out = out.withColumn("links", _links(visible, F.col("target_uri"))).withColumn("title", F.btrim(F.regexp_replace(decoded(F.regexp_extract("html", TITLE, 1)), r"[\x09-\x0D\x20]+", " ")))
+    out = out.withColumn("visible", F.regexp_replace("html", HIDDEN, ""))
+    out = out.withColumn("links", _links(F.col("visible"), F.col("target_uri"))).withColumn("title", F.btrim(F.regexp_replace(decoded(F.regexp_extract("html", TITLE, 1)), r"[\x09-\x0D\x20]+", " ")))
     fields = F.concat(
         F.lit("via: "), F.col("target_uri"), F.lit("\r\ntitle: "), F.col("title"), F.lit("\r\n"),
         F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), x, F.lit(" L a/@href\r\n"))), ""),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"), plain_text(F.col("html")).alias("block")),
+        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"), plain_text(F.col("visible")).alias("block")),
     )
     out = out.withColumn("n_links", F.size("links").cast("long")).withColumn("x", F.explode(kinds)).select("page_id", *names, "n_links", "x.*")
     out = out.withColumn("block_digest", _sha("block")).withColumn("content_length", F.octet_length("block").cast("long"))
