@@ -4,9 +4,10 @@ Targets: the sources share the words of all documents by weight; a source stops
 `most` times its own words and the excess is shared again until none is above.
 
 Copies: a document of a source with target t and words S is due r = t / S copies.
-floor(r) are certain whole copies; r - floor(r) is the inclusion probability p of one
-more, the same within a source and different between sources. Documents are ranked by
-(u / (1 - u)) / (p / (1 - p)), u a hash of the id, and taken in that order up to the words
+floor(r) are certain whole copies; the source's rest, p = r - floor(r) of its words, is a
+sample with unequal probabilities: a document's inclusion odds are p / (1 - p) times its size
+over the source's mean size, so long documents are likelier than short ones. Documents are ranked by
+(u / (1 - u)) / odds, u a hash of the id, and taken in that order up to the words
 that are still due (a fixed size in words, not a Poisson sample). Last, the one document
 left that fills the gap best is taken if it brings the source nearer.
 
@@ -17,8 +18,10 @@ limit falls, and only that bucket is ordered. The decisions are a small table
 
 Defined results: null or empty text has size 0 and takes 0 words; null source is a
 source of its own, last in order; equal rows (id and text) are taken together or
-not at all, beyond the certain copies; with no words at all every target is 0; an empty table
-gives an empty table; extra columns are ignored by plan() and kept by mix().
+not at all, beyond the certain copies; ties in rank go to the smaller id, then text hash; with no words
+at all every target is 0; a very long text counts whole, and its source misses its target by at most
+half of it; an empty table gives an empty table; extra columns are ignored by plan() and kept by mix(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -85,8 +88,11 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     return table.withColumn("target", F.least((F.col("source_size") * most).cast("double"), open_share))
 
 
-def _odds(u: Column, p: Column) -> Column:
-    return (u / (1.0 - u)) / (p / (1.0 - p))
+def _rank() -> Column:
+    """Random odds over inclusion odds; null for documents that cannot be sampled."""
+    u, p = F.col("x_u"), F.col("p")
+    size = (F.col("x_size") * F.col("n_docs")).cast("double") / F.col("source_size").cast("double")
+    return F.when((p > 0) & (F.col("x_size") > 0), (u / (1.0 - u)) / (p / (1.0 - p) * size))
 
 
 def _bucket(q: Column) -> Column:
@@ -97,13 +103,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     """One row a source: source, source_size, target, certain copies, inclusion
     probability, the rank up to which documents are taken and the document that fills the gap."""
     rows = measured if measured is not None else _measured(docs).select("doc_id", "source", *_INTERNAL)
-    totals = rows.groupBy("source").agg(F.sum("x_size").alias("source_size"))
+    totals = rows.groupBy("source").agg(F.sum("x_size").alias("source_size"), F.count_if(F.col("x_size") > 0).alias("n_docs"))
     base = targets(totals, weights, most)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = base.withColumn("due", due).withColumn("certain", F.floor("due").cast("long")).withColumn("p", F.col("due") - F.col("certain"))
     base = stage(base.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size")).drop("due"), "mix-base")
-    chances = base.filter("p > 0 and rest > 0").select(F.col("source").alias("x_source"), "p", "rest")
-    odds = rows.join(chances, rows.source.eqNullSafe(chances.x_source)).withColumn("q", _odds(F.col("x_u"), F.col("p"))).withColumn("b", _bucket(F.col("q")))
+    chances = base.filter("p > 0 and rest > 0").select(F.col("source").alias("x_source"), "p", "rest", "n_docs", "source_size")
+    odds = rows.filter("x_size > 0").join(chances, rows.source.eqNullSafe(chances.x_source)).withColumn("q", _rank()).withColumn("b", _bucket(F.col("q")))
     histogram = odds.groupBy("x_source", "b").agg(F.sum("x_size").alias("w"), F.first("rest").alias("rest"))
     order = Window.partitionBy("x_source").orderBy("b")
     running = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -122,8 +128,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     alike = rows.join(filler, F.expr("source <=> f_source and doc_id <=> f_id and x_tie = f_tie")).groupBy("f_source", "gap", "f_id", "f_tie", "f_size").agg(F.count(F.lit(1)).alias("n"))
     filler = alike.filter("abs(n * f_size - gap) < gap").select("f_source", "f_id", "f_tie")
     out = base.join(limit, F.expr("source <=> e_source"), "left").join(filler, F.expr("source <=> f_source"), "left")
-    out = out.select("source", "source_size", "target", "certain", "p", "edge", "last", "f_id", "f_tie")
-    out = stage(out.toDF("m_source", "source_size", "target", "certain", "p", "edge", "last", "f_id", "f_tie"), "mix-plan")
+    out = out.select("source", "source_size", "n_docs", "target", "certain", "p", "edge", "last", "f_id", "f_tie")
+    out = stage(out.toDF("m_source", "source_size", "n_docs", "target", "certain", "p", "edge", "last", "f_id", "f_tie"), "mix-plan")
     discard(edge, limit, base)
     return out
 
@@ -139,7 +145,7 @@ def _taken() -> Column:
 def _copies(measured: DataFrame, decided: DataFrame) -> DataFrame:
     """measured with x_copies, source_size and target; a pure function of the row and its source's decisions."""
     out = measured.join(decided, measured.source.eqNullSafe(decided.m_source))
-    out = out.withColumn("q", F.when(F.col("p") > 0, _odds(F.col("x_u"), F.col("p")))).withColumn("b", _bucket(F.col("q")))
+    out = out.withColumn("q", _rank()).withColumn("b", _bucket(F.col("q")))
     filler = F.coalesce(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("x_tie") == F.col("f_tie")), F.lit(False))
     return out.withColumn("x_copies", F.col("certain") + _taken().cast("long") + filler.cast("long"))
 
@@ -167,7 +173,7 @@ WITH d AS (
          (CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (size > 0) AS n_docs, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source
 ), c AS (
   SELECT *, (SELECT sum(source_size) FROM s) AS total, (SELECT sum(weight) FROM s) AS weights,
          coalesce(sum(3 * source_size) OVER o, 0) AS c_before, coalesce(sum(weight) OVER o, 0) AS w_before
@@ -177,14 +183,14 @@ WITH d AS (
 ), l AS (
   SELECT max(total) - coalesce(sum(3 * source_size) FILTER (capped), 0) AS rest, coalesce(sum(weight) FILTER (NOT capped), 0) AS open FROM f
 ), t AS (
-  SELECT source, source_size, CASE WHEN open = 0 THEN CAST(3 * source_size AS DOUBLE)
+  SELECT source, source_size, n_docs, CASE WHEN open = 0 THEN CAST(3 * source_size AS DOUBLE)
          ELSE least(CAST(3 * source_size AS DOUBLE), CAST(rest * weight AS DOUBLE) / CAST(open AS DOUBLE)) END AS target FROM f, l
 ), p AS (
   SELECT *, CAST(floor(r) AS BIGINT) AS certain, r - floor(r) AS p, target - floor(r) * source_size AS rest
   FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r FROM t)
 ), q AS (
   SELECT d.*, p.source_size, p.target, p.certain, p.rest, p.p,
-         CASE WHEN p.p > 0 AND p.rest > 0 THEN (u / (1.0::DOUBLE - u)) / (p.p / (1.0::DOUBLE - p.p)) END AS q
+         CASE WHEN p.p > 0 AND p.rest > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (p.p / (1.0::DOUBLE - p.p) * (CAST(size * p.n_docs AS DOUBLE) / CAST(p.source_size AS DOUBLE))) END AS q
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), w AS (
   SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, tie) <= rest AS taken FROM q
