@@ -46,6 +46,39 @@ def test_deduplicate_keeps_columns_and_one_row_a_group(spark):
     assert exact_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def _clashing(docs):
+    names = ("x_norm", "x_digest", "x_keep", "f_hit", "f_word", "x_fp", "x_root", "k_text", "h_found", "run")
+    return docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+
+
+@pytest.mark.parametrize("deduplicate", [exact_dedup.deduplicate, simhash.deduplicate])
+def test_clashing_columns_stay(spark, deduplicate):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    out = deduplicate(_clashing(docs))
+    assert out.columns == _clashing(docs).columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, _clashing(deduplicate(docs)).collect()))
+
+
+def test_runs_filters_and_levels(spark, monkeypatch):
+    """Many runs, a fan-in of two, a filter of few bits, and a group in every run."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", 2)
+    docs = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then concat('t ', id % 70) else concat('own ', id) end as text").repartition(11)
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r.text, []).append(r.doc_id)
+    want = sorted((i, min(ids), len(ids), i == min(ids)) for ids in by.values() for i in ids)
+    for bits in (24, 10):
+        monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+        got = exact_dedup.groups(docs)
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
+        assert sorted(r.doc_id for r in exact_dedup.deduplicate(docs).collect()) == sorted(min(ids) for ids in by.values())
+    index = exact_dedup.build(docs)
+    assert index.alone.count() + index.meeting.count() == 4000
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 24)
+    alone = exact_dedup.build(docs).alone
+    assert alone.count() > 1500 and {r.group_size for r in alone.select("doc_id").join(got, "doc_id").collect()} == {1}
+
+
 def _fingerprint(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])

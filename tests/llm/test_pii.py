@@ -82,3 +82,23 @@ def test_running_sum(spark):
     for n in (0, 1, 255, 256, 257, 1000):
         got = spark.range(1).select(F.expr(f"transform(slice(sequence(1L, 1000L), 1, {n}), x -> x * x)").alias("v")).select(pii.running_sum(F.col("v"))).first()[0]
         assert got == [sum(k * k for k in range(1, i + 1)) for i in range(n)]
+
+
+def test_secrets_are_seeded_and_discovered(spark):
+    rng = random.Random(2)
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n - 2)) + "a1"
+    rows = [(i, f'words of text {i} token = "{key(40)}" and more') for i in range(40)]
+    rows += [(100, f'words token = "{key(14)}", short'), (101, f"commit {key(40)} of no one"), (102, "token = nothing here"), (103, f"API_KEY={key(32)}; next")]
+    rows += [(104, f"again {rows[0][1].split(chr(34))[1]} elsewhere"), (105, None)]
+    got = {r.doc_id: r.spans for r in pii._spans(pii.extract(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(got[i] == f"secret:{rows[i][1].index(chr(34)) + 1}:{rows[i][1].index(chr(34)) + 41}" for i in range(40))
+    assert got[100] == "secret:15:29" and got[103] == "secret:8:40" and got[104] == "secret:6:46"
+    assert got[101] == got[102] == got[105] == ""
+
+
+def test_secrets_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {r.doc_id: len(re.findall(r'(?i)token = "[0-9a-f]{40}"', r.text)) for r in docs.collect()}
+    got = {r.doc_id: r for r in pii.query(spark, "/root/testdata/sf0.01").collect()}
+    assert {i: r.n_secret for i, r in got.items()} == planted and sum(planted.values()) > 10
+    assert all(r.n_spans == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_secret for r in got.values())

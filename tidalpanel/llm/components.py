@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large and small stars.
 
-No task sees more than the links of its own keys, minima combine before the
-shuffle, and every round is written to the shared folder. Nothing of the graph
+No task sees more than the links of its own keys, those of hubs stay where they are
+(shared.heavy_join), minima combine before the shuffle, and every round is written to the shared folder. Nothing of the graph
 reaches the driver but a count and a checksum.
 """
 
@@ -10,22 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import discard, stage
+from tidalpanel.llm.shared import discard, heavy_join, stage
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = _both(links)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return heavy_join(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, is linked to the smallest of them."""
+    """Every smaller neighbour of a node, and the node, is linked to the smallest of them.
+
+    After a large star a node has few smaller neighbours, so no key is heavy."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -46,7 +48,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not state[0]:
             break
-        after = stage(_small_star(_large_star(now)), "links")
+        after = stage(_small_star(_large_star(now, state[0])), "links")
         discard(now)
         now, before = after, state
         state = _state(now)

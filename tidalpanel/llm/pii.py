@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns find e-mail and IP addresses, cards and phone numbers; those are the seeds.
-Every identifier-like span (words with a digit or "@") is an instance, the one or two words
-before it are its patterns, and both form a bipartite graph of distinct surfaces. Spark
+Base patterns find e-mail and IP addresses, cards and phone numbers; those are the seeds. Secrets
+(keys, tokens, passwords) are a fifth kind without a base pattern: its seeds are long mixed strings right
+after a name such as "token =". Every identifier-like span (words with a digit or "@", or with "(at)") is
+an instance, the one or two words before it are its patterns, and both form a bipartite graph of distinct surfaces. Spark
 scores the graph in rounds: a pattern's confidence in a kind is the score its instances
 have in that kind over their number, an unlabelled instance's score is the noisy-or
 of its patterns. After the last round, unlabelled instances with a score of at
-least CONFIDENCE whose shape suits the kind are added as spans; base spans stay.
+least CONFIDENCE whose shape suits the kind are added as spans, and the seeds of secrets; base spans stay.
 
 Only DataFrame functions are used. Each base pattern equals its contract's under leftmost
 search but is linear in the text: lookbehinds and possessive repeats only spare starts
@@ -15,7 +16,9 @@ pieces around the matches. Sums over patterns and instances combine before the
 shuffle; a surface that a million documents share is one node.
 
 Defined results: null text is empty, with no spans; null doc_ids pass through; repeated
-rows are answered each; an empty table gives an empty table; extra columns are ignored.
+rows are answered each; very long texts are searched whole, in time linear in their length; an instance
+that several kinds claim goes to the best score, ties to the first kind listed; an empty table gives an
+empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import stage, text_or_empty
+from tidalpanel.llm.shared import heavy_join, stage, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only the graph and its seeds give.
+ADDED_KINDS = ("secret",)
+SECRET = len(KINDS)
 #: Of leftmost search; see the docstring.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,7 +39,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[(+]?[0-9]\S*+)*+"
+#: Words with a digit or "@", with further groups of digits if no letter follows the first; words with "(at)" or "[at]".
+INSTANCE = r"(?<!\S)(?:[^\s0-9@]*+[0-9@](?:[^\sA-Za-z]*+(?!\S)(?:\x20[(+]?[0-9]\S*+)++|\S*+)|[A-Za-z][A-Za-z._%+-]*+(?:\(at\)|\[at\])\S++)"
+# Names that announce a secret.
+SECRET_NAME = r"(?:token|secret|password|passwd|pwd|credential|api[_ -]?key|access[_ -]?key|auth[_ -]?key|private[_ -]?key)s?"
+#: What ends just before a seed of that kind, and the seed itself.
+SECRET_LEAD = rf"(?i)(?<![a-z]){SECRET_NAME}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}$"
+SECRET_SEED = r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])[a-z0-9_+/=.-]{20,}$"
 CONFIDENCE = 0.75
 #: Instances that a pattern needs.
 SUPPORT = 5
@@ -115,15 +127,19 @@ def instances(df: DataFrame) -> DataFrame:
     df = _matches(df, INSTANCE, "x_inst")
 
     def one(m: Column) -> Column:
-        lead = F.char_length(F.regexp_extract(m["found"], r"^(?:[\[<{\"'«“]|\((?![0-9]{1,4}\)))*", 0)).cast("long")
-        tail = F.char_length(F.regexp_extract(m["found"], r"[.,;:!?)\]>}\"'»”]*$", 0)).cast("long")
+        head = F.regexp_extract(m["found"], rf"^(?:(?i:{SECRET_NAME})[\"']?[:=]{{1,2}})?(?:[\[<{{\"'«“]|\((?![0-9]{{1,4}}\)))*", 0)
+        lead = F.char_length(head).cast("long")
+        tail = F.char_length(F.regexp_extract(m["found"], r"[.,;:!?)\]>}\"'»”#$%&*|]*$", 0)).cast("long")
         inside = F.char_length(m["found"]) - lead - tail
         start, end = m["start"] + lead, F.greatest(m["start"] + lead, m["end"] - tail)
-        label = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), lambda b: b["k"]))
+        surface = F.lower(F.substr(m["found"], lead + 1, F.greatest(inside, F.lit(0))))
+        based = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), lambda b: b["k"]))
+        announced = F.rlike(F.concat(F.right(m["before"], F.lit(40)), F.regexp_replace(head, r"[\[<{\"'«“(]+$", "")), F.lit(SECRET_LEAD))
+        label = F.coalesce(based, F.when(F.rlike(surface, F.lit(SECRET_SEED)) & announced, F.lit(SECRET)))
         words = F.filter(F.split(F.lower(m["before"]), r"\s+"), lambda w: w != "")
         last = F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")))
         return F.struct(
-            start.alias("start"), end.alias("end"), F.lower(F.substr(m["found"], lead + 1, F.greatest(inside, F.lit(0)))).alias("surface"), label.alias("label"),
+            start.alias("start"), end.alias("end"), surface.alias("surface"), label.alias("label"),
             F.filter(last, lambda p: p.isNotNull()).alias("patterns"),
         )
 
@@ -135,7 +151,8 @@ def suits(surface: Column) -> list[Column]:
     n = F.length(_digits(surface))
     email = F.rlike(surface, F.lit(r"@|[(\[]at[)\]]")) & F.rlike(surface, F.lit(r"[a-z0-9]\W*[a-z0-9]"))
     ip = F.rlike(surface, F.lit(r"^[0-9a-f]{1,4}([.:]{1,2}[0-9a-fx*]{1,4}){3,7}$"))
-    return [email, ip, n.between(12, 19) & ~F.rlike(surface, F.lit("[a-z]{3}")), n.between(7, 15) & ~F.rlike(surface, F.lit("[a-z@]"))]
+    secret = F.rlike(surface, F.lit(r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])[a-z0-9_+/=.!$%&*#-]{8,}$"))
+    return [email, ip, n.between(12, 19) & ~F.rlike(surface, F.lit("[a-z]{3}")), n.between(7, 15) & ~F.rlike(surface, F.lit("[a-z@]")), secret]
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -158,7 +175,7 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in KINDS + ADDED_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -168,14 +185,26 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = stage(rows.select("doc_id", "base", "inst").withColumn("row_key", F.monotonically_increasing_id()), "pii-rows")
     each = rows.select("row_key", F.explode("inst").alias("i")).select("row_key", "i.*")
     edges = each.select("surface", "label", F.explode("patterns").alias("pattern"))
-    edges = stage(edges.groupBy("pattern", "surface").agg(F.min("label").alias("label")), "pii-edges")
+    edges = stage(edges.groupBy("pattern", "surface").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")), "pii-edges")
+    total = edges.agg(F.sum("n")).first()[0] or 0
     found = bootstrap(edges, rounds)
-    added = each.filter("label is null").join(found, "surface").groupBy("row_key").agg(F.collect_list(F.struct("k", "start", "end")).alias("added"))
+    # a seed of a secret is one wherever it stands
+    found = found.unionByName(edges.filter(f"label = {SECRET}").select("surface", F.lit(SECRET).alias("k"))).groupBy("surface").agg(F.min("k").alias("k"))
+    found = stage(found.join(edges.groupBy("surface").agg(F.sum("n").alias("n")), "surface"), "pii-surfaces")
+    seeded = each.filter(f"label = {SECRET}").select("row_key", F.lit(SECRET).alias("k"), "start", "end")
+    open_rows = each.filter("label is null").select("row_key", "surface", "start", "end")
+    named = heavy_join(open_rows, found, "surface", "n", total).select("row_key", "k", "start", "end")
+    added = named.unionByName(seeded).groupBy("row_key").agg(F.collect_list(F.struct("k", "start", "end")).alias("added"))
     out = rows.join(added, "row_key", "left")
     return out.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("all"))
 
 
-def query(spark, sf_dir):
-    out = extract(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _spans(found: DataFrame) -> DataFrame:
+    """The columns of the query from extract()."""
     counts = [F.expr(f"cast(size(filter(base, s -> s.k = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+    more = [F.expr(f"cast(size(filter(all, s -> s.k = {SECRET})) as long)").alias("n_secret"), F.size("all").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), *more)
+
+
+def query(spark, sf_dir):
+    return _spans(extract(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where a session on one machine names no folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/tidalpanel"
+#: A key with more than one in so many of all rows is heavy; so there are fewer than so many heavy keys.
+HEAVY = 1000
+#: Bits of the filter behind keep_first(): at most 2**18 words of 64.
+KEEP_BITS = 24
 #: Rows and bytes of the Arrow batches that carry texts to Python.
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
@@ -19,6 +23,8 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -65,6 +71,33 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def shielded(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns of docs as k_<name>, out of the way of an operator's own names, and those it reads under theirs."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in docs.columns], *needed)
+
+
+def unshielded(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`k_{c}`").alias(c) for c in names])
+
+
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row a key and in `count` how many of all `total` rows have it.
+
+    Heavy keys, fewer than HEAVY, are broadcast and leave their rows where they are; no other key
+    brings more than one in HEAVY of the rows to a task."""
+    heavy = table.filter(F.col(count) * HEAVY > total)
+    marked = rows.join(F.broadcast(heavy.select(key, F.struct(*[c for c in table.columns if c != key]).alias("h_found"))), key, "left")
+    light = marked.filter("h_found is null").drop("h_found").join(table.filter(F.col(count) * HEAVY <= total), key)
+    names = light.columns
+    some = marked.filter("h_found is not null").select(*rows.columns, *[F.col(f"h_found.{c}").alias(c) for c in table.columns if c != key])
+    return light.unionByName(some.select(*names))
+
+
+def filter_bits(keys: int, most: int) -> int:
+    """Bits for about one key in 16 slots, as far as `most` allows."""
+    return min(most, max(10, (16 * max(1, keys)).bit_length()))
+
+
 def filter_words(keys: DataFrame, hash_column: Column, bits: int) -> DataFrame:
     """A one-hash membership filter of 2**bits bits as rows (f_word, f_bits); at most 2**(bits - 6) rows."""
     slot = F.shiftrightunsigned(hash_column, 64 - bits)
@@ -84,3 +117,21 @@ def maybe_member(df: DataFrame, filter_: DataFrame, hash_column: Column, bits: i
     if keep_rest:
         return out.withColumn("f_hit", hit).drop("f_slot", "f_word", "f_bits")
     return out.filter(hit).drop("f_slot", "f_word", "f_bits")
+
+
+def keep_first(marked: DataFrame, grouped: DataFrame, key: str, total: int) -> DataFrame:
+    """Of the rows of each group one: that whose doc_id is the group's x_keep (of repeats one); rows of no group all stay.
+
+    marked has doc_id and key; grouped, staged, has a row for each key of a group: key, x_root, x_keep and x_count, how
+    many of all `total` rows have it. Rows that a bounded filter shows to be in no group are not moved, nor are the rows of
+    heavy keys, but for the one that stays."""
+    bits = filter_bits(grouped.count(), KEEP_BITS)
+    words = stage(filter_words(grouped, F.xxhash64(key), bits), "keep-filter")
+    split = maybe_member(marked, words, F.xxhash64(key), bits, keep_rest=True)
+    heavy = grouped.filter(F.col("x_count") * HEAVY > total).select(key, F.col("x_keep").alias("h_keep"), F.lit(True).alias("h_group"))
+    near = split.filter("f_hit").join(F.broadcast(heavy), key, "left").filter("h_group is null or h_keep <=> doc_id").drop("h_keep", "h_group")
+    met = near.join(grouped, key, "left")
+    single = met.filter("x_root is null")
+    first = met.filter("x_root is not null and x_keep <=> doc_id").dropDuplicates(["x_root"])
+    out = split.filter("not f_hit").drop("f_hit")
+    return out.unionByName(single.select(out.columns)).unionByName(first.select(out.columns))

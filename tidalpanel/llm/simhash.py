@@ -31,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalpanel.llm.components import components
-from tidalpanel.llm.shared import bounded_batches, filter_words, maybe_member, stage
+from tidalpanel.llm.shared import bounded_batches, heavy_join, keep_first, shielded, stage, unshielded
 
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
-#: Bits of the filter behind deduplicate(): at most 2**17 words.
-FILTER_BITS = 23
 #: Seed of XXH64.
 SEED = 42
 #: (first bit, bits) of the segments.
@@ -179,33 +177,28 @@ def _neighbour_links(fps: DataFrame, distance: int) -> DataFrame:
 def groups(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     prints = stage(fingerprints(docs, width), "simhash-prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     found = components(links(classes, distance))
-    named = classes.join(found, classes.fp == found.node, "left").select(classes.fp, "least", F.coalesce("root", classes.fp).alias("root"))
+    named = classes.join(found, classes.fp == found.node, "left").select(classes.fp, "least", "n", F.coalesce("root", classes.fp).alias("root"))
     named = stage(named, "simhash-classes")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = named.join(roots, "root").select("fp", "component_id")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = named.join(roots, "root").select("fp", "n", "component_id")
+    return heavy_join(prints, of_class, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
     """docs with one document of each component: that with the smallest id (of repeated
     rows one). Only rows of fingerprints that are shared or linked meet in a shuffle;
     a bounded filter lets the others pass with their whole texts."""
-    marked = docs.withColumn("x_fp", _fingerprint_udf(docs.sparkSession, width)("text"))
+    marked = shielded(docs, "doc_id", "text").withColumn("x_fp", _fingerprint_udf(docs.sparkSession, width)("text")).drop("text")
     prints = stage(marked.select("doc_id", "x_fp"), "simhash-prints").withColumnRenamed("x_fp", "fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     found = components(links(classes, distance))
     named = classes.join(found, classes.fp == found.node, "left").select("fp", "least", "n", "node", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "simhash-classes")
     roots = named.groupBy("root").agg(F.min("least").alias("keep_id"), F.sum("n").alias("size"))
-    grouped = stage(named.join(roots.filter("size > 1"), "root").select(F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.col("keep_id").alias("x_keep")), "simhash-grouped")
-    words = stage(filter_words(grouped, F.xxhash64("x_fp"), FILTER_BITS), "simhash-filter")
-    split = maybe_member(marked, words, F.xxhash64("x_fp"), FILTER_BITS, keep_rest=True)
-    met = split.filter("f_hit").join(grouped, "x_fp", "left")
-    single = met.filter("x_root is null").select(docs.columns)
-    first = met.filter("x_root is not null and x_keep <=> doc_id").dropDuplicates(["x_root"]).select(docs.columns)
-    return split.filter("not f_hit").select(docs.columns).unionByName(single).unionByName(first)
+    grouped = stage(named.join(roots.filter("size > 1"), "root").select(F.col("fp").alias("x_fp"), F.col("root").alias("x_root"), F.col("keep_id").alias("x_keep"), F.col("n").alias("x_count")), "simhash-grouped")
+    return unshielded(keep_first(marked, grouped, "x_fp", prints.count()), docs.columns)
 
 
 def query(spark, sf_dir):
