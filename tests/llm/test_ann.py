@@ -41,6 +41,29 @@ def test_recall(spark, sf, monkeypatch):
     assert all(abs(exact[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got if (r.query_id, r.vec_id) in exact)
 
 
+def test_estimates_and_bounds():
+    rng = np.random.default_rng(1)
+    x, q, centre, turn = rng.standard_normal((500, 64)), rng.standard_normal((40, 64)), rng.standard_normal(64) / 10, ann.rotations(64)
+    code, factor, error = ann.encode(x, centre, turn)
+    tile = ann.Tile([(np.arange(500), np.arange(500), code, np.bitwise_count(code).sum(axis=1), factor, error, x)])
+    chunk = ann.Queries(q, np.full(40, -1), 20, centre, turn)
+    counted = chunk.estimates(np.arange(40), tile.code)
+    about = (counted * chunk.counted[:, None] + chunk.ones[:, None] * tile.ones + chunk.rest[:, None]) * factor + chunk.base[:, None]
+    off = np.abs(about - q @ x.T) / (chunk.norm[:, None] * error + chunk.rounding[:, None] * factor)
+    assert np.mean(off > ann.CONFIDENCE) < 0.01 and np.mean(off) > 0.2
+    assert (q @ x.T <= (q @ tile.middle + chunk.norm * tile.radius)[:, None]).all()
+
+
+def test_clusters_skip_tiles(spark, monkeypatch):
+    """Far clusters: a tile of another cluster is never estimated, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    centres = 40 * rng.standard_normal((8, 16))
+    rows = [(i, [float(v) for v in centres[i % 8] + rng.standard_normal(16)]) for i in range(1, 1601)]
+    monkeypatch.setattr(ann, "TILE", 50)
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert _held(got, _brute(rows, 20, 20)) >= 0.99
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
     rng = np.random.default_rng(3)
@@ -48,7 +71,12 @@ def test_odd_rows(spark, monkeypatch):
     good += [(1000 + i, good[7][1]) for i in range(60)]
     bad = [(2000, None), (2020, []), (2040, [0.0] * 9), (2060, [1.0, None] + [0.0] * 7), (2080, [float("nan")] + [1.0] * 8), (2100, [float("inf")] + [1.0] * 8), (2120, [1.0]), (None, [1.0] * 9)]
     docs = spark.createDataFrame(good + bad + good[:5], "vec_id long, embedding array<double>").withColumn("vector", F.lit(1)).withColumn("code", F.lit(2))
-    assert _held(ann.neighbours(docs).collect(), _brute(good, 20, 20)) >= 0.95
+    rows = ann.neighbours(docs).collect()
+    # ids 0 to 4 have two rows each: each finds the other first, and other queries find both
+    twice = [r for r in rows if r.query_id == 0]
+    assert len(twice) == 40 and all(r.vec_id == 0 and r.score == pytest.approx(np.square(good[0][1]).sum()) for r in twice if r.rank == 1 and r.vec_id == 0)
+    alone = docs.filter("vec_id >= 5 or vec_id is null")
+    assert _held(ann.neighbours(alone).collect(), _brute([g for g in good if g[0] >= 5], 20, 20)) >= 0.95
     few = spark.createDataFrame(good[:3], "vec_id long, embedding array<double>")
     assert _held(ann.neighbours(few).collect(), _brute(good[:3], 20, 20)) == 1
     assert ann.neighbours(docs.limit(0)).count() == 0
