@@ -24,15 +24,23 @@ def lagged(features: DataFrame, targets: DataFrame, months: int) -> DataFrame:
     return known.join(targets, "period")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: tuple[str, ...], at: str, since: str) -> DataFrame:
-    """left with the columns of the latest right row whose `since` is not after `at`: one
-    sort-based pass over both sides by key, no range join."""
+def as_of(left: DataFrame, right: DataFrame, keys: tuple[str, ...], at: str, since: str, days: int = 31) -> DataFrame:
+    """left with the columns of the latest right row whose `since` is not after `at` (dates, or numbers): one
+    sort-based pass over both sides by key and span of `days` (or units), no range join.
+
+    Each span gets the last right row before it, found on one row a key and span, so a key that
+    holds very many rows is cut into spans."""
     names = [c for c in right.columns if c not in (*keys, since)]
     a = left.select("*", F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in right.schema if f.name in names) + ">").alias("x_right"), F.col(at).alias("x_at"), F.lit(1).alias("x_side"))
     b = right.select(*keys, F.struct(*names).alias("x_right"), F.col(since).alias("x_at"), F.lit(0).alias("x_side"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    frame = Window.partitionBy(*keys).orderBy("x_at", "x_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("x_right", F.last("x_right", ignorenulls=True).over(frame)).filter("x_side = 1")
+    numeric = dict(left.dtypes)[at] not in ("date", "timestamp", "timestamp_ntz", "string")
+    place = F.col("x_at") if numeric else F.unix_date(F.col("x_at").cast("date"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("x_span", F.floor(place / days))
+    spans = both.groupBy(*keys, "x_span").agg(F.max(F.when(F.col("x_side") == 0, F.struct("x_at", "x_right")))["x_right"].alias("x_last"))
+    before = Window.partitionBy(*keys).orderBy("x_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*keys, "x_span", F.last("x_last", ignorenulls=True).over(before).alias("x_right"), F.lit(-1).alias("x_side")).filter("x_right is not null")
+    frame = Window.partitionBy(*keys, "x_span").orderBy(F.col("x_at").asc_nulls_first(), "x_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.unionByName(carried, allowMissingColumns=True).withColumn("x_right", F.last("x_right", ignorenulls=True).over(frame)).filter("x_side = 1")
     return found.select(*left.columns, "x_right.*")
 
 
@@ -63,6 +71,13 @@ def targets(prices: DataFrame, yields: DataFrame | None = None, deflator: DataFr
     return rows.drop("ret", "value")
 
 
+def vintage_dates(spark: SparkSession, first: str, until: str, months: int = 6) -> DataFrame:
+    """(vintage): the last days of every `months`-th month of the year (June and December, or the quarters), from first to until."""
+    span = F.explode(F.sequence(F.trunc(F.lit(first).cast("date"), "month"), F.lit(until).cast("date"), F.expr("interval 1 month")))
+    days = spark.range(1).select(span.alias("x_day")).select(F.last_day("x_day").alias("vintage"))
+    return days.filter((F.month("vintage") % months == 0) & (F.col("vintage") <= F.lit(until).cast("date")))
+
+
 def plus_months(d: date, n: int) -> date:
     """As add_months: the day is cut to the month's length."""
     y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
@@ -102,11 +117,12 @@ def holdout_start(panel: DataFrame, share: float = 0.15, least: int = 48) -> dat
 
 
 def outer_folds(first: date, last: date, n: int = 5, least: int = 120, test: int = 24) -> list[tuple[date, date, date]]:
-    """(train_end, test_start, test_end) spread evenly over what is left after the least training span."""
+    """(train_end, test_start, test_end) spread evenly over what is left after the least training span; one fold if nothing is left."""
     usable = (last - first).days / 30.44 - least - test
     step = usable / (n - 1) if n > 1 and usable > 0 else 0
     out = []
     for k in range(n if usable > 0 else 1):
         end = plus_months(first, least + int(k * step))
-        out.append((end, end + timedelta(days=1), min(plus_months(end, test), last)))
+        start = end + timedelta(days=1)
+        out.append((end, start, min(plus_months(start, test), last)))
     return out

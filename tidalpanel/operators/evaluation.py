@@ -132,13 +132,16 @@ def implied_sharpe(ic: Column, bets: float = 24.0, cost: float = 0.004) -> Colum
     return F.greatest(F.lit(0.0), ic * (bets**0.5) - cost * 12**0.5)
 
 
-def economic(forecasts: DataFrame, bps: float = 10.0, *keys: str) -> DataFrame:
-    """Positions are the sign of the forecast against its median, held one period later; mean return, volatility, turnover, cost and Sharpe ratio."""
+def economic(forecasts: DataFrame, bps: float = 10.0, *keys: str, target: float = 0.10) -> DataFrame:
+    """Positions are the sign of the forecast against its median, held one period later and scaled to the target
+    volatility; annual mean return, unscaled volatility, turnover, cost, net return and Sharpe ratio."""
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("period")
     rows = complete(forecasts).withColumn("pos", F.signum(F.col("predicted") - F.percentile("predicted", F.lit(0.5)).over(whole)))
     rows = rows.withColumn("ret", F.lag("pos").over(order) * F.col("actual")).withColumn("turn", F.abs(F.col("pos") - F.lag("pos").over(order)))
     out = rows.groupBy(*keys).agg((F.avg("ret") * 12).alias("mean_return"), (F.stddev_samp("ret") * 12**0.5).alias("volatility"), F.avg("turn").alias("turnover"))
-    return out.withColumn("cost", F.col("turnover") * bps / 1e4 * 12).withColumn("sharpe", (F.col("mean_return") - F.col("cost")) / w.nonzero(F.col("volatility")))
+    scale = F.when(F.col("volatility") > 0, target / F.col("volatility")).otherwise(1.0)
+    out = out.withColumn("mean_return", F.col("mean_return") * scale).withColumn("cost", F.col("turnover") * bps / 1e4 * 12)
+    return out.withColumn("net_return", F.col("mean_return") - F.col("cost")).withColumn("sharpe", F.col("net_return") / target if target > 0 else F.lit(0.0))
 
 
 def spearman_matrix(panel: DataFrame) -> DataFrame:
@@ -153,15 +156,15 @@ def spearman_matrix(panel: DataFrame) -> DataFrame:
     return rho.withColumn("distance", F.greatest(F.lit(0.0), 1 - F.abs(F.coalesce("rho", F.lit(0.0)))))
 
 
-def ensemble(forecasts: DataFrame, models: int) -> DataFrame:
+def ensemble(forecasts: DataFrame, models: int, *keys: str) -> DataFrame:
     """Mean forecast of the periods that all models have."""
-    out = complete(forecasts).groupBy("period").agg(F.avg("predicted").alias("predicted"), F.max("actual").alias("actual"), F.count_distinct("model").alias("m"))
+    out = complete(forecasts).groupBy(*keys, "period").agg(F.avg("predicted").alias("predicted"), F.max("actual").alias("actual"), F.count_distinct("model").alias("m"))
     return out.filter(F.col("m") == models).drop("m")
 
 
-def consensus(forecasts: DataFrame) -> DataFrame:
+def consensus(forecasts: DataFrame, *keys: str) -> DataFrame:
     """Share of models above zero in each period, and the vote."""
-    out = forecasts.filter("predicted is not null").groupBy("period").agg(F.avg((F.col("predicted") > 0).cast("double")).alias("bullish"))
+    out = forecasts.filter("predicted is not null").groupBy(*keys, "period").agg(F.avg((F.col("predicted") > 0).cast("double")).alias("bullish"))
     return out.withColumn("vote", F.when(F.col("bullish") > 0.6, "BULLISH").when(F.col("bullish") < 0.4, "BEARISH").otherwise("NEUTRAL"))
 
 

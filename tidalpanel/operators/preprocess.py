@@ -18,7 +18,7 @@ def statistics(panel: DataFrame) -> DataFrame:
 
 def impute(panel: DataFrame, fitted: DataFrame, how: str = "median", fallback: float = 0.0) -> DataFrame:
     fill = F.lit(fallback) if how == "zero" else F.coalesce(how, F.lit(fallback))
-    return panel.join(F.broadcast(fitted.select("series", "mean", "median")), "series", "left").withColumn("value", F.coalesce("value", fill)).select("period", "series", "value")
+    return panel.join(fitted.select("series", "mean", "median"), "series", "left").withColumn("value", F.coalesce("value", fill)).select("period", "series", "value")
 
 
 def impute_expanding(panel: DataFrame, how: str = "median", fallback: float = 0.0) -> DataFrame:
@@ -32,14 +32,20 @@ def scale(panel: DataFrame, fitted: DataFrame, how: str = "standard") -> DataFra
     """By mean and population deviation, or median and interquartile range; a spread of zero counts as one."""
     centre, spread = (F.col("median"), F.col("q3") - F.col("q1")) if how == "robust" else (F.col("mean"), F.col("sd"))
     spread = F.when(spread == 0, 1.0).otherwise(spread)
-    return panel.join(F.broadcast(fitted), "series", "left").withColumn("value", (F.col("value") - centre) / spread).select("period", "series", "value")
+    return panel.join(fitted, "series", "left").withColumn("value", (F.col("value") - centre) / spread).select("period", "series", "value")
 
 
-def scale_expanding(panel: DataFrame, least: int = 36, burn_in: str = "bfill") -> DataFrame:
-    """Standard scores by the statistics of strictly earlier rows; the first rows take the first such statistics
-    (burn_in "bfill", which looks ahead) or stay null; null results become 0 under "bfill"."""
+def scale_expanding(panel: DataFrame, least: int = 36, burn_in: str = "bfill", how: str = "standard", window: int | None = None) -> DataFrame:
+    """Standard scores (or by median and interquartile range, how "robust") by the statistics of strictly earlier rows, all of
+    them or the last `window`; the first rows take the first such statistics (burn_in "bfill", which looks ahead)
+    or stay null; null results become 0 under "bfill"."""
     v = F.col("value")
-    rows = panel.withColumn("m", w.mean(v, w.past(), least)).withColumn("s", w.sd(v, w.past(), least))
+    frame = w.past() if window is None else w.by_series().rowsBetween(-window, -1)
+    if how == "robust":
+        quarts = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        rows = panel.withColumn("q", w.guarded(quarts, v, frame, least)).withColumn("m", F.col("q")[1]).withColumn("s", F.col("q")[2] - F.col("q")[0]).drop("q")
+    else:
+        rows = panel.withColumn("m", w.mean(v, frame, least)).withColumn("s", w.sd(v, frame, least))
     rows = rows.withColumn("s", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")))
     if burn_in == "bfill":
         rows = rows.withColumn("m", w.backward_fill(F.col("m"))).withColumn("s", w.backward_fill(F.col("s")))
@@ -63,7 +69,7 @@ def fit_quintiles(train: DataFrame) -> DataFrame:
 
 def apply_quintiles(panel: DataFrame, fitted: DataFrame) -> DataFrame:
     """Q1..Q5 as 0 or 1; right-closed bins, the lowest edge included; outside the training range and for nulls all are 0."""
-    rows = panel.join(F.broadcast(fitted), "series", "left")
+    rows = panel.join(fitted, "series", "left")
     v, edges = F.col("value"), F.col("edges")
     inside = v.between(F.element_at(edges, 1), F.element_at(edges, -1))
     above = F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e < v)))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Published critical values at 1, 5 and 10 percent (constant, large samples).
 ADF_CRITICAL = (-3.430, -2.862, -2.567)
@@ -102,7 +103,13 @@ def stationarity(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
 
     out = panel.groupBy("series").applyInPandas(run, "series string, n long, adf double, adf_p double, kpss double, kpss_p double")
     a, k = F.col("adf_p") < alpha, F.col("kpss_p") >= alpha
-    return out.withColumn("advice", F.when(a & k, "stationary").when(~a & ~k, "difference").when(a, "trend").otherwise("inconclusive"))
+    return out.withColumn("advice", advice(a, k))
+
+
+def advice(adf_stationary, kpss_stationary):
+    """The four cells of the two tests; both arguments are boolean columns."""
+    both = F.when(adf_stationary & kpss_stationary, "stationary").when(adf_stationary, "trend stationary")
+    return both.when(kpss_stationary, "difference stationary").otherwise("non-stationary")
 
 
 def cointegration(panel: DataFrame, pairs: DataFrame, least: int = 60, alpha: float = 0.05, lags: int = 2) -> DataFrame:
@@ -128,27 +135,55 @@ def cointegration(panel: DataFrame, pairs: DataFrame, least: int = 60, alpha: fl
 
 
 # Prior weights of theories.
-PRIORS = {"consumption_income": 0.8, "fisher": 0.6, "yields_inflation": 0.6, "quantity_theory": 0.5, "gdp_m2": 0.5, "income_m2": 0.5, "okun": 0.4, "output_employment": 0.4, "housing": 0.3, "permits": 0.3, "stocks_gdp": 0.2}
+PRIORS = {
+    "consumption_income": 0.8, "fisher_hypothesis": 0.6, "yields_inflation": 0.6, "quantity_theory": 0.5, "gdp_m2": 0.5, "income_m2": 0.5,
+    "okun_law": 0.4, "output_employment": 0.4, "housing_rates": 0.3, "permits_rates": 0.3, "stocks_gdp": 0.2,
+}
+#: Weight from which a pair enters the model, and rows beyond a window that its stability needs.
+LEAST_WEIGHT = 0.3
+SPARE_ROWS = 24
+#: What stands for the p-value of a trace test that rejects, and of one that does not.
+JOHANSEN_P = (0.01, 0.5)
+
+
+def evidence(p, how: str = "logistic"):
+    """How much a p-value speaks for a pair: logistic about 0.10, or falling to 0 at 0.2; a missing one does not."""
+    out = 1 / (1 + F.exp(10 * (p - 0.10))) if how == "logistic" else F.greatest(F.lit(0.0), 1 - p / 0.2)
+    return F.coalesce(out, F.lit(0.0))
 
 
-def pair_weight(name, p, stability):
-    """prior^.3 * evidence^.5 * stability^.2 with logistic evidence; all arguments are columns."""
+def steadiness(share):
+    """Factor of the share of windows that reject; 1 where stability was not asked for."""
+    return F.when(share.isNull(), 1.0).when(share >= 0.5, 0.8 + 0.2 * (share - 0.5) / 0.5).otherwise(0.8 * share / 0.5)
+
+
+def pair_weight(name, johansen_p, p, factor, how: str = "logistic"):
+    """prior^.3 * evidence^.5 * steadiness^.2 with the smaller p-value as evidence; all arguments are columns, factor is that of steadiness()."""
     prior = F.lit(0.5)
     for theory, weight in PRIORS.items():
         prior = F.when(name == theory, weight).otherwise(prior)
-    evidence = 1 / (1 + F.exp(10 * (p - 0.10)))
-    steady = F.when(stability.isNull(), 0.5).when(stability >= 0.5, 0.8 + 0.2 * (stability - 0.5) / 0.5).otherwise(0.8 * stability / 0.5)
-    return F.pow(prior, F.lit(0.3)) * F.pow(evidence, F.lit(0.5)) * F.pow(steady, F.lit(0.2))
+    return F.pow(prior, F.lit(0.3)) * F.pow(evidence(F.least(johansen_p, p), how), F.lit(0.5)) * F.pow(factor, F.lit(0.2))
+
+
+def weighted(tests: DataFrame, stability: DataFrame | None = None) -> DataFrame:
+    """cointegration() results with weight and included; stability is that of rolling_stability()."""
+    rows = tests if stability is None else tests.join(stability.select("name", "factor"), "name", "left")
+    factor = F.lit(1.0) if stability is None else F.coalesce("factor", F.lit(0.5))
+    johansen_p = F.when(F.col("rank") >= 1, JOHANSEN_P[0]).otherwise(JOHANSEN_P[1])
+    rows = rows.withColumn("weight", pair_weight(F.col("name"), johansen_p, F.coalesce(F.when(F.isnan("eg"), None).otherwise(F.col("eg_p")), F.lit(0.5)), factor))
+    return rows.withColumn("included", F.col("weight") >= LEAST_WEIGHT)
 
 
-def average_linkage(names: list[str], distance: np.ndarray, clusters: int) -> list[int]:
-    """Cluster numbers after merging the closest groups, by mean distance, until `clusters` are left."""
+def average_linkage(names: list[str], distance: np.ndarray, clusters: int = 1, farthest: float = float("inf")) -> list[int]:
+    """Cluster numbers after merging the closest groups, by mean distance, until `clusters` are left or the next merge is beyond `farthest`."""
     groups = {i: [i] for i in range(len(names))}
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     while len(groups) > max(1, clusters):
         keys = sorted(groups)
         part = d[np.ix_(keys, keys)]
+        if part.min() > farthest:
+            break
         i, j = sorted(keys[k] for k in np.unravel_index(np.argmin(part), part.shape))
         ni, nj = len(groups[i]), len(groups[j])
         d[i] = d[:, i] = (ni * d[i] + nj * d[j]) / (ni + nj)
@@ -161,9 +196,9 @@ def average_linkage(names: list[str], distance: np.ndarray, clusters: int) -> li
     return out
 
 
-def clusters(matrix: DataFrame, n: int, most: int = 2000) -> DataFrame:
-    """matrix (a, b, distance) of features -> (feature, cluster, representative). The features of a model are
-    few; more than `most` is an error rather than a silent collect."""
+def clusters(matrix: DataFrame, n: int | None = None, similarity: float | None = None, most: int = 2000) -> DataFrame:
+    """matrix (a, b, distance) of features -> (feature, cluster, representative): n clusters, or those that a cut at
+    distance 1 - similarity leaves. The features of a model are few; more than `most` is an error rather than a silent collect."""
     names = [r["a"] for r in matrix.select("a").union(matrix.select("b")).distinct().orderBy("a").limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} features to cluster")
@@ -171,7 +206,7 @@ def clusters(matrix: DataFrame, n: int, most: int = 2000) -> DataFrame:
     d = np.ones((len(names), len(names)))
     for r in matrix.select("a", "b", "distance").collect():
         d[place[r["a"]], place[r["b"]]] = d[place[r["b"]], place[r["a"]]] = r["distance"]
-    number = average_linkage(names, d, n)
+    number = average_linkage(names, d, n or 1, 1 - similarity if similarity is not None else float("inf"))
     rows = []
     for k in sorted(set(number)):
         members = [i for i, x in enumerate(number) if x == k]
@@ -201,3 +236,27 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 
 def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The value below which Student's t falls with probability p, by bisection."""
+    if p < 0.5:
+        return -t_quantile(1 - p, df)
+    low, high = 0.0, 1.0
+    while 1 - t_two_sided(high, df) / 2 < p:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 1 - t_two_sided(middle, df) / 2 < p else (low, middle)
+    return (low + high) / 2
+
+
+@F.pandas_udf(DoubleType())
+def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p-values; null where either argument is."""
+    return pd.Series([None if pd.isna(a) or pd.isna(d) else t_two_sided(float(a), float(d)) for a, d in zip(t, df)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(d) else t_quantile(float(a), float(d)) for a, d in zip(p, df)], dtype="float64")

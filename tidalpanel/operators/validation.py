@@ -27,7 +27,7 @@ def block_draws(forecasts: DataFrame, h: int, reps: int, seed: int, *keys: str)
 def block_bootstrap(forecasts: DataFrame, h: int, reps: int = 1000, seed: int = 42, *keys: str) -> DataFrame:
     """(keys, se, low, high) of the IC: deviation and the central 95 percent over the repeats."""
     ics = evaluation.information_coefficient(block_draws(forecasts, h, reps, seed, *keys), *keys, "rep")
-    return ics.groupBy(*keys).agg(F.stddev_samp("ic").alias("se"), F.percentile("ic", F.lit(0.025)).alias("low"), F.percentile("ic", F.lit(0.975)).alias("high"))
+    return ics.groupBy(*keys).agg(F.stddev_pop("ic").alias("se"), F.percentile("ic", F.lit(0.025)).alias("low"), F.percentile("ic", F.lit(0.975)).alias("high"))
 
 
 def romano_wolf(forecasts: DataFrame, h: int, reps: int = 500, seed: int = 42, alpha: float = 0.05) -> DataFrame:
@@ -48,6 +48,9 @@ def nested(data: DataFrame, names: list[str], candidates: tuple[str, ...], outer
     out = None
     for k, (end, start, stop) in enumerate(align.outer_folds(first, last, outer, least, test)):
         train, held = data.filter(F.col("period") <= end), rows.filter(F.col("period").between(start, stop))
+        sizes = rows.agg(F.count_if(F.col("period") <= end).alias("train"), F.count_if(F.col("period").between(start, stop)).alias("test")).first()
+        if sizes["train"] <= 20 or sizes["test"] <= 5:
+            continue
         best = [r["model"] for r in models.leaderboard(models.tournament(train, names, candidates, **inner)).limit(keep).collect()]
         fitted = rows.filter(F.col("period") <= end)
         parts = [models.FACTORIES[m](fitted).transform(held).select(F.lit(m).alias("model"), "period", F.col("y").alias("actual"), F.col("prediction").alias("predicted")) for m in best]
@@ -56,11 +59,14 @@ def nested(data: DataFrame, names: list[str], candidates: tuple[str, ...], outer
             both = both.unionByName(p)
         part = evaluation.ensemble(both, len(best)).withColumn("fold_id", F.lit(k)).withColumn("chosen", F.lit(",".join(best)))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no outer fold has more than 20 training and 5 test rows")
     return out
 
 
 def rolling_stability(panel: DataFrame, pairs: DataFrame, window: int = 120, step: int = 12, alpha: float = 0.10) -> DataFrame:
-    """(name, windows, stability): share of windows in which the pair's residual test rejects; null when none fits."""
+    """(name, windows, stability, factor): share of windows in which the pair's residual test rejects, and the factor of a
+    pair's weight. With fewer than window + 24 rows nothing is tested: the share is null and the factor a half."""
     x = panel.filter("value is not null").select("period", F.col("series").alias("a"), F.col("value").alias("va"))
     y = panel.filter("value is not null").select("period", F.col("series").alias("b"), F.col("value").alias("vb"))
     both = x.join(F.broadcast(pairs), "a").join(y, ["period", "b"])
@@ -69,19 +75,40 @@ def rolling_stability(panel: DataFrame, pairs: DataFrame, window: int = 120, ste
         rows = rows.sort_values("period")
         a, b = rows["va"].to_numpy(float), rows["vb"].to_numpy(float)
         hits = []
-        for at in range(0, len(a) - window, step):
+        for at in range(0, len(a) - window, step) if len(a) >= window + stats.SPARE_ROWS else ():
             u, v = a[at : at + window], b[at : at + window]
             e = stats.ols(u, np.column_stack([v, np.ones(window)]))[2]
             hits.append(stats.from_critical(stats.adf(e, False)[0], stats.ENGLE_GRANGER_CRITICAL) < alpha)
         return pd.DataFrame({"name": [rows["name"].iloc[0]], "windows": [len(hits)], "stability": [float(np.mean(hits)) if hits else None]})
 
-    return both.groupBy("name").applyInPandas(run, "name string, windows int, stability double")
-
-
-def representatives(panel: DataFrame, clusters: DataFrame, how: str = "centroid", target: DataFrame | None = None) -> DataFrame:
-    """(cluster, series) chosen for each cluster: first by name, largest variance, largest |Spearman| with the
-    cluster's mean (centroid) or with a target (ic). clusters has (feature, cluster)."""
-    rows = panel.filter("value is not null").join(F.broadcast(clusters.select(F.col("feature").alias("series"), "cluster")), "series")
+    out = both.groupBy("name").applyInPandas(run, "name string, windows int, stability double")
+    return out.withColumn("factor", F.when(F.col("windows") == 0, 0.5).otherwise(stats.steadiness(F.col("stability"))))
+
+
+def representatives(panel: DataFrame, clusters: DataFrame, how: str = "centroid", target: DataFrame | None = None, least: int = 0, seed: int = 42) -> DataFrame:
+    """(cluster, series) chosen for each cluster: first by name, at random (by a seeded hash), largest variance, largest
+    |Spearman| with the cluster's mean (centroid) or with a target (ic); auto takes the target's (without one the variance) for
+    clusters of up to three and the centroid for larger ones. A single member is chosen as it is; with `least`, only periods that all
+    members have count, and a cluster with fewer of them gives its first member. clusters has (feature, cluster)."""
+    members = clusters.select(F.col("feature").alias("series"), "cluster")
+    if how == "auto":
+        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        small, large = (clusters.join(sizes.filter(c).select("cluster"), "cluster", "left_semi") for c in ("n <= 3", "n > 3"))
+        few = representatives(panel, small, "ic" if target is not None else "variance", target, least, seed)
+        return few.unionByName(representatives(panel, large, "centroid", None, least, seed))
+    rows = panel.join(members, "series")
+    if least:
+        order = Window.partitionBy("cluster", "period")
+        rows = rows.withColumn("x_whole", F.count("value").over(order) == F.count(F.lit(1)).over(order)).filter("x_whole").drop("x_whole")
+        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.min("series").alias("x_first"))
+        enough = rows.groupBy("cluster").agg(F.count_distinct("period").alias("n")).join(sizes, "cluster", "right")
+        plain = enough.filter(f"m = 1 or coalesce(n, 0) < {least}").select("cluster", F.col("x_first").alias("series"))
+        rest = clusters.join(plain.select("cluster"), "cluster", "left_anti")
+        chosen = representatives(rows.select("period", "series", "value"), rest, how, target, 0, seed)
+        return plain.unionByName(chosen.select("cluster", "series"))
+    rows = rows.filter("value is not null")
+    if how == "random":
+        return rows.groupBy("cluster").agg(F.min_by("series", F.xxhash64(F.lit(seed), "series")).alias("series"))
     if how == "first":
         return rows.groupBy("cluster").agg(F.min("series").alias("series"))
     if how == "variance":

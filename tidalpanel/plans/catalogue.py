@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidalpanel.functions import windows as w
-from tidalpanel.operators import align, evaluation, preprocess, stats, transforms, validation
+from tidalpanel.operators import align, evaluation, inference, preprocess, stats, transforms, validation
 from tidalpanel.operators import models as models_
 from tidalpanel.plans import panels
 from tidalpanel.plans.panels import dense_sql
@@ -328,18 +328,18 @@ def _(spark, d):
 # ---- joins in time
 
 
-@query("lag_align", f"WITH {FC} SELECT CAST(f.period + INTERVAL 2 MONTH AS DATE)::VARCHAR AS period, f.series AS feature, round(f.value, 2) AS value, t.series, t.actual FROM pm_d f JOIN fc t ON t.period = CAST(f.period + INTERVAL 2 MONTH AS DATE) WHERE t.series = '5-LOW'")
+@query("lag_align", f"WITH {FC} SELECT CAST(f.period + INTERVAL 2 MONTH AS DATE)::VARCHAR AS period, f.series AS feature, round(f.value, 2) AS value, t.series, t.actual FROM pm_d f JOIN fc t ON t.period = CAST(f.period + INTERVAL 2 MONTH AS DATE)")
 def _(spark, d):
-    t = forecasts(spark, d).filter("series = '5-LOW'").select("period", "series", "actual")
+    t = forecasts(spark, d).select("period", "series", "actual")
     return shown(align.lagged(pm(spark, d), t, 2))
 
 
 @query(
     "asof_vintage",
-    f"WITH {PD}, v AS (SELECT period AS since, series, value AS known FROM pm_d WHERE month(period) % 4 = 1 AND value IS NOT NULL), e AS (SELECT o_orderkey, o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, e.series, CAST(d AS VARCHAR) AS d, known FROM e ASOF LEFT JOIN v ON v.series = e.series AND v.since <= e.d",
+    f"WITH {PD}, v AS (SELECT period AS since, series, value AS known FROM pm_d WHERE value IS NOT NULL), e AS (SELECT o_orderkey, o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, e.series, CAST(d AS VARCHAR) AS d, known FROM e ASOF LEFT JOIN v ON v.series = e.series AND v.since <= e.d",
 )
 def _(spark, d):
-    v = pm(spark, d).filter("month(period) % 4 = 1 and value is not null").select(F.col("period").alias("since"), "series", F.col("value").alias("known"))
+    v = pm(spark, d).filter("value is not null").select(F.col("period").alias("since"), "series", F.col("value").alias("known"))
     e = panels.read(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d"))
     return shown(align.as_of(e, v, ("series",), "d", "since"))
 
@@ -441,11 +441,7 @@ def _errors_sql() -> str:
 
 @query("rank_errors", _errors_sql())
 def _(spark, d):
-    f, out = forecasts(spark, d), None
-    for name in ("bartlett", "equal", "parzen", "quadratic"):
-        part = evaluation.rank_errors(f, 12, "series", weights=name).withColumnRenamed("se", name)
-        out = part if out is None else out.join(part.drop("n"), "series")
-    return shown(out)
+    return shown(inference.rank_error_table(forecasts(spark, d), 12, ("bartlett", "equal", "parzen", "quadratic"), "series"))
 
 
 @query(
@@ -495,7 +491,8 @@ def _(spark, d):
     "economic_significance",
     f"""WITH {FC}, f AS (SELECT * FROM fc WHERE actual IS NOT NULL AND predicted IS NOT NULL), p AS (SELECT f.*, CAST(sign(predicted - quantile_cont(predicted, 0.5) OVER (PARTITION BY series)) AS DOUBLE) AS pos FROM f),
 r AS (SELECT *, lag(pos) OVER o * actual AS ret, abs(pos - lag(pos) OVER o) AS turn FROM p WINDOW o AS ({W_SQL})), s AS (SELECT series, avg(ret) * 12 AS mean_return, stddev_samp(ret) * sqrt(12) AS volatility, avg(turn) AS turnover FROM r GROUP BY series)
-SELECT series, round(mean_return, 6) AS mean_return, round(volatility, 6) AS volatility, round(turnover, 6) AS turnover, round(turnover * 10 / 10000 * 12, 6) AS cost, round((mean_return - turnover * 10 / 10000 * 12) / nullif(volatility, 0), 6) AS sharpe FROM s""",
+SELECT series, round(mean_return * 0.1 / volatility, 6) AS mean_return, round(volatility, 6) AS volatility, round(turnover, 6) AS turnover, round(turnover * 0.001 * 12, 6) AS cost,
+  round(mean_return * 0.1 / volatility - turnover * 0.012, 6) AS net_return, round((mean_return * 0.1 / volatility - turnover * 0.012) / 0.1, 6) AS sharpe FROM s""",
 )
 def _(spark, d):
     return shown(evaluation.economic(forecasts(spark, d), 10.0, "series"))
@@ -521,14 +518,14 @@ def models(spark, d):
     return f.unionByName(reverse).unionByName(f.withColumn("model", F.lit("drift")).withColumn("predicted", F.lit(0.01)))
 
 
-@query("ensemble_average", f"WITH {MODELS} SELECT CAST(period AS VARCHAR) AS period, round(avg(predicted), 9) AS predicted, round(max(actual), 9) AS actual FROM ml WHERE series = '5-LOW' AND actual IS NOT NULL AND predicted IS NOT NULL GROUP BY period HAVING count(DISTINCT model) = 3")
+@query("ensemble_average", f"WITH {MODELS} SELECT series, CAST(period AS VARCHAR) AS period, round(avg(predicted), 9) AS predicted, round(max(actual), 9) AS actual FROM ml WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY series, period HAVING count(DISTINCT model) = 3")
 def _(spark, d):
-    return shown(evaluation.ensemble(models(spark, d).filter("series = '5-LOW'"), 3), 9)
+    return shown(evaluation.ensemble(models(spark, d), 3, "series"), 9)
 
 
-@query("consensus_vote", f"WITH {MODELS}, v AS (SELECT period, avg(CAST(predicted > 0 AS DOUBLE)) AS b FROM ml WHERE series = '5-LOW' AND predicted IS NOT NULL GROUP BY period) SELECT CAST(period AS VARCHAR) AS period, round(b, 6) AS bullish, CASE WHEN b > 0.6 THEN 'BULLISH' WHEN b < 0.4 THEN 'BEARISH' ELSE 'NEUTRAL' END AS vote FROM v")
+@query("consensus_vote", f"WITH {MODELS}, v AS (SELECT series, period, avg(CAST(predicted > 0 AS DOUBLE)) AS b FROM ml WHERE predicted IS NOT NULL GROUP BY series, period) SELECT series, CAST(period AS VARCHAR) AS period, round(b, 6) AS bullish, CASE WHEN b > 0.6 THEN 'BULLISH' WHEN b < 0.4 THEN 'BEARISH' ELSE 'NEUTRAL' END AS vote FROM v")
 def _(spark, d):
-    return shown(evaluation.consensus(models(spark, d).filter("series = '5-LOW'")))
+    return shown(evaluation.consensus(models(spark, d), "series"))
 
 
 RESULTS = f"{MODELS}, res AS (SELECT series, model, sqrt(avg((actual - predicted) ** 2)) AS rmse, avg(CAST(sign(actual) = sign(predicted) AS DOUBLE)) AS hit FROM ml WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY series, model)"
@@ -562,11 +559,10 @@ def _(spark, d):
     "regime_ic",
     f"""WITH {FC}, g AS (SELECT CASE WHEN period BETWEEN DATE '2001-03-01' AND DATE '2001-11-30' THEN 'recession' ELSE 'expansion' END AS regime, actual, predicted FROM fc WHERE actual IS NOT NULL AND predicted IS NOT NULL),
 k AS (SELECT regime, rank() OVER (PARTITION BY regime ORDER BY actual) + (count(*) OVER (PARTITION BY regime, actual) - 1) / 2.0 AS a, rank() OVER (PARTITION BY regime ORDER BY predicted) + (count(*) OVER (PARTITION BY regime, predicted) - 1) / 2.0 AS p FROM g)
-SELECT regime, count(*) AS n, round(corr(a, p), 6) AS ic FROM k GROUP BY regime""",
+SELECT regime, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(corr(a, p), 6) END AS ic FROM k GROUP BY regime""",
 )
 def _(spark, d):
-    rows = align.label(forecasts(spark, d), align.intervals(spark))
-    return shown(evaluation.information_coefficient(rows.select("regime", "period", "actual", "predicted"), "regime"))
+    return shown(inference.regime_ics(forecasts(spark, d), align.intervals(spark)))
 
 
 @query("sequences", f"WITH {PD}, s AS (SELECT period, series, count(value) OVER k AS c, count(*) OVER k AS n, row_number() OVER ({W_SQL}) AS rn FROM pm_d WINDOW k AS ({W_SQL} ROWS 11 PRECEDING)) SELECT series, count(*) FILTER (n = 12 AND (rn - 12) % 6 = 0) AS possible, count(*) FILTER (n = 12 AND c = 12 AND (rn - 12) % 6 = 0) AS usable FROM s GROUP BY series")
@@ -601,13 +597,13 @@ def _(spark, d):
     return shown(stats.stationarity(panels.lineitem_month(spark, d).unionByName(pw(spark, d))))
 
 
-PAIR_ROWS = [("af_rf", "AF", "RF"), ("no_af", "NO", "AF"), ("no_rf", "NO", "RF")]
+PAIR_ROWS = [("okun_law", "AF", "RF"), ("consumption_income", "NO", "AF"), ("no_rf", "NO", "RF")]
 
 
 @query("cointegration")
 def _(spark, d):
     out = stats.cointegration(panels.lineitem_month(spark, d), spark.createDataFrame(PAIR_ROWS, "name string, a string, b string"))
-    return shown(out.withColumn("weight", stats.pair_weight(F.col("name"), F.col("eg_p"), F.lit(None).cast("double"))))
+    return shown(stats.weighted(out))
 
 
 @query("error_correction")
@@ -673,7 +669,7 @@ def _(spark, d):
 
 @query("romano_wolf")
 def _(spark, d):
-    return shown(validation.romano_wolf(models(spark, d).filter("series = '5-LOW' and month(period) > 2"), 6, 200))
+    return shown(validation.romano_wolf(models(spark, d).withColumn("model", F.concat_ws("|", "series", "model")), 6, 200))
 
 
 @query("nested_cv")
@@ -723,7 +719,7 @@ def _(spark, d):
     return shown(validation.base_features(panel, codes, spark.createDataFrame(PAIRS, "name string, left string, right string, kind string")))
 
 
-@query("alignment_report", f"WITH {FC} SELECT count(*) AS rows, CAST(min(t.period) AS VARCHAR) AS first, CAST(max(t.period) AS VARCHAR) AS last, CAST(0 AS BIGINT) AS look_ahead FROM pm_d f JOIN fc t ON t.period = CAST(f.period + INTERVAL 2 MONTH AS DATE) WHERE t.series = '5-LOW'")
+@query("alignment_report", f"WITH {FC} SELECT count(*) AS rows, CAST(min(t.period) AS VARCHAR) AS first, CAST(max(t.period) AS VARCHAR) AS last, CAST(0 AS BIGINT) AS look_ahead FROM pm_d f JOIN fc t ON t.period = CAST(f.period + INTERVAL 2 MONTH AS DATE)")
 def _(spark, d):
-    t = forecasts(spark, d).filter("series = '5-LOW'").select("period", F.col("series").alias("target"), "actual")
+    t = forecasts(spark, d).select("period", F.col("series").alias("target"), "actual")
     return shown(validation.alignment(pm(spark, d), t, 2))

@@ -45,7 +45,7 @@ def exclude(panel: DataFrame, meta: DataFrame, groups: list[int], names: list[st
     missing = set(groups) - {r["grp"] for r in dropped.select("grp").distinct().collect()}
     if missing:
         raise ValueError(f"no series in groups {sorted(missing)}")
-    return panel.join(F.broadcast(dropped.select("series")), "series", "left_anti").filter(~F.col("series").isin(list(names)))
+    return panel.join(dropped.select("series"), "series", "left_anti").filter(~F.col("series").isin(list(names)))
 
 
 def prices(spark: SparkSession, path: str, start: str | None = None) -> DataFrame:
