@@ -5,23 +5,29 @@ toxic and clean texts differ by more than chance would allow for the number of
 candidates (likelihood ratio against 2 ln of that number); the weight is the smoothed log odds.
 Near copies share a signature and count once.
 
-Grammar: a text is read clause by clause. Each token is a symbol (insult, threat,
-target, negation, reported speech, quotation mark, other). Small transducers rewrite the marks of
-insults and threats: one marks those within the scope of a negation, one those
-after a verb of saying or in quotation marks, one those near a person addressed. Their
-composition, built once by product construction, runs over the matched clauses and gives every
-match one of 16 classes. A document's features are the lexical weights summed by
-class; a logistic model, drawn towards prior weights for negated, reported and aimed
-clauses, turns them into a score.
+Grammar: a text is read clause by clause. Each token is a symbol (insult, threat, target, third
+person, first person, modal, negation, reported speech, quotation mark, end, other). Five transducers
+read the symbols: the insult machine marks learned words; the threat machine accepts a threat verb, or a
+learned word after "I will" and the like, together with a person, in active or passive order; the target machine marks insults near a
+person on either side; the negation machine marks what stands in the scope of a negation; the report
+machine marks what follows a verb of saying or stands in quotation marks. They run as one composed
+machine, whose product states are built when first reached.
+
+Scores: a clause counts once, by its strongest match: that match's weight goes to the class given by
+its marks. A threat has a weight without being learned. A document's features are the clause weights
+summed by class; a logistic model, drawn towards prior weights for negated, reported, aimed and
+threatening clauses, turns them into a score.
 
 Bounds: the model is fitted on at most about SAMPLE_ROWS labelled rows, taken by a hash
-of the id, and on at most LEXICON entries; that sample alone is broadcast or
-gathered. Scoring reads every whole text and shuffles nothing.
+of the id; what is broadcast or gathered comes from that sample alone. Scoring reads every whole
+text and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without matches; without
-labels of both kinds nothing is matched and every score is the smoothed share of toxic rows (0
-without labels); several labels of one id count as toxic if one is; repeated rows are
-scored each; null ids are held out; extra columns are ignored by scores(), kept by reject().
+labels of both kinds nothing is learned and every score comes from the smoothed share of toxic rows (0
+without labels); several labels of one id count as toxic if one is; equal texts score equally and
+repeated rows are scored each; very long texts are read whole, in memory in proportion to one text; null ids are
+held out; empty tables give empty tables; extra columns are ignored by scores() and kept by reject(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,37 +41,57 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import bounded_batches, discard, stage
+from tidalpanel.llm.shared import bounded_batches, discard, released, shielded, stage, unshielded
 
 SAMPLE_ROWS = 100_000
-LEXICON = 20_000
 #: Lengths of the stems that are tried, besides whole words; a stem must be shared by so many words.
 STEMS = (4, 5)
 STEM_WORDS = 3
 PRECISION = 0.85
-#: Tokens for which a negation holds, and within which a person addressed counts.
+#: Tokens for which a negation holds, within which a person counts, within which "I" or "will" makes a verb a threat, and from a person to a passive verb.
 NEGATION_SCOPE = 3
 TARGET_SCOPE = 4
+THREAT_SCOPE = 3
+PASSIVE_SCOPE = 5
+#: A clause without punctuation ends after so many tokens.
+CLAUSE_TOKENS = 40
+#: Lexical weight of a threat, learned or not.
+THREAT_WEIGHT = 5.0
 #: Weights before any label is seen: of a plain match, and what each mark adds to it.
-PRIOR = {"plain": 1.0, "negated": -0.8, "reported": -0.5, "aimed": 0.3}
+PRIOR = {"plain": 1.0, "negated": -0.8, "reported": -0.5, "aimed": 0.3, "threat": 1.0}
 INTERCEPT = -3.0
 PULL = 1.0
 
-# Function words of four languages.
-TARGETS = frozenset("you your yours yourself u he she they him her them these those du dich dir ihr euch sie er tu te toi vous ton ta il elle ils usted ustedes tú ti vosotros él ella ellos".split())
-NEGATIONS = frozenset("not no never nor neither without isn't aren't wasn't don't doesn't didn't nicht kein keine nie niemals ohne ne pas jamais sans ni nunca jamás sin".split())
+# Function words and threat verbs of four languages.
+TARGETS = frozenset("you your yours yourself u du dich dir ihr euch tu te toi vous ton ta usted ustedes tú ti vosotros".split())
+PERSONS = frozenset("he she they him her them these those er sie il elle ils él ella ellos".split())
+FIRST = frozenset("i we i'll we'll i'm we're ich wir je nous yo nosotros".split())
+MODALS = frozenset("will shall gonna going must should werde werden wirst vais allons vas voy vamos vas".split())
+NEGATIONS = frozenset("not no never nor neither without isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie niemals ohne ne pas jamais sans ni nunca jamás sin".split())
 REPORTS = frozenset("said says say saying told tells wrote writes claims claimed called according quoted sagte sagt schrieb laut dit disait écrit selon dijo dice escribió según".split())
-THREATS = frozenset("kill killing murder hurt destroy shoot stab töten umbringen schlagen tuer frapper détruire matar golpear destruir".split())
+THREATS = frozenset(
+    "kill killed murder murdered hurt destroy destroyed shoot shot stab stabbed strangle töten umbringen schlagen erschießen "
+    "tuer frapper détruire étrangler matar golpear destruir".split()
+)
 
 _TOKEN = re.compile(r"\w+(?:['’]\w+)?|[.!?;\n\"“”«»„]")
 _ENDS = frozenset(".!?;\n")
 _QUOTES = frozenset("\"“”«»„")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
+OTHER, INSULT, THREAT, TARGET, PERSON, FIRST_PERSON, MODAL, NEGATION, REPORT, QUOTE, END = range(11)
+_SYMBOLS = {
+    **dict.fromkeys(_QUOTES, QUOTE), **dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(MODALS, MODAL), **dict.fromkeys(FIRST, FIRST_PERSON),
+    **dict.fromkeys(PERSONS, PERSON), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(_ENDS, END), **dict.fromkeys(THREATS, THREAT),
+}
 
 # A transducer: (start state, step(state, symbol) -> (state, mark)).
 Machine = tuple[object, Callable]
 
 
+def insult_machine() -> Machine:
+    """Marks learned words."""
+    return (), lambda state, symbol: (state, symbol == INSULT)
+
+
 def negation_machine() -> Machine:
     def step(left, symbol):
         if symbol == NEGATION:
@@ -88,40 +114,72 @@ def report_machine() -> Machine:
 
 
 def target_machine() -> Machine:
-    def step(left, symbol):
-        if symbol == TARGET:
-            return TARGET_SCOPE, True
-        return (0 if symbol == END else max(0, left - 1)), left > 0
+    """Marks insults after a person, and persons after an insult."""
+
+    def step(state, symbol):
+        person, insult = state
+        if symbol == END:
+            return (0, 0), False
+        met = insult > 0 if symbol in (TARGET, PERSON) else person > 0 if symbol == INSULT else False
+        person = TARGET_SCOPE if symbol in (TARGET, PERSON) else max(0, person - 1)
+        insult = TARGET_SCOPE if symbol == INSULT else max(0, insult - 1)
+        return (person, insult), met
+
+    return (0, 0), step
 
-    return 0, step
 
+def threat_machine() -> Machine:
+    """Marks the last word of a threat: the person after the verb, or the verb of "you will be ...".
 
-def compose(*machines: Machine) -> tuple[list[list[int]], list[list[int]]]:
-    """The product of the machines as tables [state][symbol] -> next state, and -> marks (bit k is machine k's)."""
-    start = tuple(m[0] for m in machines)
-    number, queue, moves, marks = {start: 0}, [start], [], []
-    for state in queue:
-        move, mark = [], []
-        for symbol in range(8):
-            steps = [step(s, symbol) for s, (_, step) in zip(state, machines, strict=True)]
+    A verb needs the person addressed; after a first person or modal any person will do, and a learned word is a verb."""
+
+    def step(state, symbol):
+        armed, verb, anyone, person = state
+        if symbol == END:
+            return (0, 0, False, 0), False
+        met = (symbol == TARGET and verb > 0) or (symbol == PERSON and verb > 0 and anyone) or (symbol == THREAT and person > 0 and armed > 0)
+        if symbol == THREAT or (symbol == INSULT and armed):
+            verb, anyone = TARGET_SCOPE, armed > 0
+        else:
+            verb = 0 if met else max(0, verb - 1)
+            anyone = anyone and verb > 0
+        armed = THREAT_SCOPE if symbol in (FIRST_PERSON, MODAL) else max(0, armed - 1)
+        person = PASSIVE_SCOPE if symbol == TARGET else max(0, person - 1)
+        return (armed, verb, anyone, person), met
+
+    return (0, 0, False, 0), step
+
+
+class Composition:
+    """The product of machines; its states are numbered and its rows filled when first reached. Bit k of a mark is machine k's."""
+
+    def __init__(self, *machines: Machine):
+        self.machines = machines
+        self.states = [tuple(m[0] for m in machines)]
+        self.number = {self.states[0]: 0}
+        self.rows: list[list[tuple[int, int] | None]] = [[None] * 11]
+
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        found = self.rows[state][symbol]
+        if found is None:
+            steps = [step(s, symbol) for s, (_, step) in zip(self.states[state], self.machines, strict=True)]
             after = tuple(s for s, _ in steps)
-            if after not in number:
-                number[after] = len(queue)
-                queue.append(after)
-            move.append(number[after])
-            mark.append(sum(bool(m) << k for k, (_, m) in enumerate(steps)))
-        moves.append(move)
-        marks.append(mark)
-    return moves, marks
+            if after not in self.number:
+                self.number[after] = len(self.states)
+                self.states.append(after)
+                self.rows.append([None] * 11)
+            found = self.rows[state][symbol] = self.number[after], sum(bool(m) << k for k, (_, m) in enumerate(steps))
+        return found
 
 
-#: Classes of a match: bits negated, reported, aimed, threat.
+#: Bits of a mark, and those of a class: negated, reported, aimed, threat.
+_NEGATED, _REPORTED, _AIMED, _THREAT, _INSULT = 1, 2, 4, 8, 16
 CLASSES = 16
 
 
 def _prior() -> np.ndarray:
-    bits = np.arange(CLASSES)[:, None] >> np.arange(3) & 1
-    return PRIOR["plain"] + bits @ np.array([PRIOR["negated"], PRIOR["reported"], PRIOR["aimed"]])
+    bits = np.arange(CLASSES)[:, None] >> np.arange(4) & 1
+    return PRIOR["plain"] + bits @ np.array([PRIOR["negated"], PRIOR["reported"], PRIOR["aimed"], PRIOR["threat"]])
 
 
 class Grammar:
@@ -129,8 +187,8 @@ class Grammar:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.heads = {w[: min(STEMS)] for w in lexicon} | {w[: min(STEMS)] for w in THREATS}
-        self.moves, self.marks = compose(negation_machine(), report_machine(), target_machine())
+        self.heads = {w[: min(STEMS)] for w in lexicon}
+        self.machine = Composition(negation_machine(), report_machine(), target_machine(), threat_machine(), insult_machine())
 
     def weight(self, word: str) -> float:
         """Of the word itself, or of its longest stem."""
@@ -140,28 +198,51 @@ class Grammar:
                 found = self.lexicon.get(word[:n] + "*")
         return found or 0.0
 
+    def clauses(self, text: str | None) -> list[tuple[int, float]]:
+        """(class, weight) of the strongest match of each clause that has one; of equal ones the first."""
+        tokens = _TOKEN.findall((text or "").lower())
+        cut, heads = min(STEMS), self.heads
+        weights = {i: w for i, t in enumerate(tokens) if t[:cut] in heads and (w := self.weight(t))}
+        if not weights and THREATS.isdisjoint(tokens):
+            return []
+        out: list[tuple[int, float]] = []
+        matches: list[list] = []
+        state, length, step = 0, 0, self.machine.step
+
+        def close() -> None:
+            if matches:
+                best = max(matches, key=lambda m: m[2])
+                out.append((best[1], best[2]))
+                matches.clear()
+
+        for i, token in enumerate(tokens):
+            symbol = INSULT if i in weights else _SYMBOLS.get(token, OTHER)
+            if length >= CLAUSE_TOKENS and symbol != END:
+                state, _ = step(state, END)
+                close()
+                length = 0
+            state, mark = step(state, symbol)
+            length += 1
+            if symbol == END:
+                close()
+                length = 0
+                continue
+            if mark & _INSULT:
+                matches.append([i, mark & (_NEGATED | _REPORTED | _AIMED), weights[i]])
+            elif mark & _AIMED:
+                for match in matches:
+                    if i - match[0] <= TARGET_SCOPE and not match[1] & _THREAT:
+                        match[1] |= _AIMED
+            if mark & _THREAT:
+                matches.append([i, mark & (_NEGATED | _REPORTED) | _AIMED | _THREAT, THREAT_WEIGHT])
+        close()
+        return out
+
     def features(self, text: str | None) -> np.ndarray:
+        """Clause weights summed by class."""
         out = np.zeros(CLASSES)
-        tokens = _TOKEN.findall((text or "").lower())
-        heads, cut = self.heads, min(STEMS)
-        hits = [i for i, t in enumerate(tokens) if t[:cut] in heads]
-        if not any(tokens[i] in THREATS or self.weight(tokens[i]) for i in hits):
-            return out
-        state = 0
-        for token in tokens:
-            weight = self.weight(token) if token[:cut] in heads else 0.0
-            threat = token in THREATS
-            if weight or threat:
-                symbol = THREAT if threat else INSULT
-            elif token in _ENDS:
-                symbol = END
-            elif token in _QUOTES:
-                symbol = QUOTE
-            else:
-                symbol = TARGET if token in TARGETS else NEGATION if token in NEGATIONS else REPORT if token in REPORTS else OTHER
-            if weight:
-                out[self.marks[state][symbol] | threat << 3] += weight
-            state = self.moves[state][symbol]
+        for k, weight in self.clauses(text):
+            out[k] += weight
         return out
 
 
@@ -191,7 +272,7 @@ def _toxic_words(texts: DataFrame) -> DataFrame:
                 found = sorted(_words(text))
                 yield pd.DataFrame({"word": pd.Series(found, dtype=object), "sig": np.full(len(found), sig, np.int64)})
 
-    return texts.select("text").mapInPandas(run, "word string, sig long")
+    return texts.select("text").mapInPandas(released(run), "word string, sig long")
 
 
 def _clean_counts(texts: DataFrame, names: list[str]) -> dict[str, int]:
@@ -209,7 +290,7 @@ def _clean_counts(texts: DataFrame, names: list[str]) -> dict[str, int]:
                     n[name] = n.get(name, 0) + 1
             yield pd.DataFrame({"name": pd.Series(list(n), dtype=object), "n": np.fromiter(n.values(), np.int64, len(n))})
 
-    return {r["name"]: r["n"] for r in texts.select("text").mapInPandas(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()}
+    return {r["name"]: r["n"] for r in texts.select("text").mapInPandas(released(run), "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()}
 
 
 def _likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
@@ -232,7 +313,7 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, flo
     limit = 2 * np.log(max(2, counted.count()))
     # a candidate unseen in clean texts needs at least so many toxic ones to pass the test
     least = max(3, int(limit / (2 * np.log((n_toxic + n_clean) / n_toxic))))
-    top = counted.filter(f"t >= {least} and n_words >= {STEM_WORDS}").orderBy(F.desc("t"), "word").limit(LEXICON * 3).collect()
+    top = counted.filter(f"t >= {least} and n_words >= {STEM_WORDS}").orderBy(F.desc("t"), "word").collect()
     discard(seen, counted)
     names = [r["word"] for r in top]
     clean = _clean_counts(texts.filter("toxic = 0"), names)
@@ -241,8 +322,7 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, flo
     ratio = _likelihood_ratio(t, c, groups, n_clean)
     precise = t / np.maximum(1, t + c) >= PRECISION
     odds = np.log((t + 0.5) / (groups + 1)) - np.log((c + 0.5) / (n_clean + 1))
-    order = [i for i in np.argsort(-ratio, kind="stable") if ratio[i] > limit and precise[i]][:LEXICON]
-    return {names[i]: float(odds[i]) for i in order}
+    return {names[i]: float(odds[i]) for i in np.flatnonzero((ratio > limit) & precise)}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -279,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             found = np.array([grammar.features(t) for t in batch["text"]]).reshape(-1, CLASSES)
             yield pd.DataFrame({"toxic": batch["toxic"].to_numpy(), "x": list(found)})
 
-    rows = texts.mapInPandas(run, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "x").collect()
+    rows = texts.mapInPandas(released(run), "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "x").collect()
     n = [r["n"] for r in rows]
     x = np.repeat(_squash(np.array([r["x"] for r in rows])), n, axis=0)
     weights, intercept = _fit(x, np.repeat([r["toxic"] for r in rows], n).astype(float))
@@ -287,14 +367,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def _score_udf(model: dict):
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grammar = Grammar(model["lexicon"])
         for series in texts:
             x = np.array([grammar.features(t) for t in series]).reshape(-1, CLASSES)
             z = _squash(x) @ model["weights"] + model["intercept"]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
+    run = released(run)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(texts)
+
     return score
 
 
@@ -312,7 +397,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents predicted toxic."""
     score = _score_udf(fit(docs, labels))
-    return docs.withColumn("x_toxic", score("text")).filter("x_toxic < 0.5").select(docs.columns)
+    return unshielded(shielded(docs, "text").withColumn("x_score", score("text")).filter("x_score < 0.5"), docs.columns)
 
 
 def query(spark, sf_dir):
