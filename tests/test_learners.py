@@ -101,3 +101,18 @@ def test_classifier(spark):
 def test_linkage_cut_and_clusters():
     d = np.array([[0, 0.1, 0.9, 0.8], [0.1, 0, 0.9, 0.9], [0.9, 0.9, 0, 0.2], [0.8, 0.9, 0.2, 0]])
     assert stats.average_linkage(list("abcd"), d, 1, 0.15) == [1, 1, 2, 3] and stats.average_linkage(list("abcd"), d, 1, 0.5) == [1, 1, 2, 2]
+
+
+def test_nested_ranks_inside_the_training_span(spark):
+    data = _design(spark, 200)
+    inner = dict(train=36, validate=12, step=12)
+    got = learners.nested(data, ["a", "b"], ("vecm", "ridge"), 2, 100, 24, 1, "standard", **inner).toPandas()
+    frame = data.toPandas().sort_values("period")
+    for k, (end, start, stop) in enumerate(align.outer_folds(frame["period"].min(), frame["period"].max(), 2, 100, 24)):
+        train, held = frame[frame["period"] <= end], frame[(frame["period"] >= start) & (frame["period"] <= stop)]
+        mine = got[got["fold_id"] == k].sort_values("period")
+        assert set(mine["chosen"]) == {"ridge"} and mine["predicted"].to_numpy() == pytest.approx(learners.answer("ridge", train, held, ["a", "b"], "standard"))
+    noisy = frame.copy()
+    noisy.loc[noisy["period"] > end, "y"] = 1e6
+    again = learners.rank_models(noisy[noisy["period"] <= end], ["a", "b"], ("vecm", "ridge"), "standard", **inner)
+    assert again == learners.rank_models(frame[frame["period"] <= end], ["a", "b"], ("vecm", "ridge"), "standard", **inner)

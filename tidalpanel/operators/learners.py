@@ -204,6 +204,52 @@ def tournament(data: DataFrame, names: list[str], models: tuple[str, ...] = ("ri
     return each.groupBy("model", "fold_id").applyInPandas(run, "model string, fold_id int, period date, actual double, predicted double, failed string")
 
 
+def _rank_correlation(actual: np.ndarray, predicted: np.ndarray) -> float:
+    """Of average ranks; 0 for a constant side, nan for fewer than three rows."""
+    if len(actual) < 3:
+        return float("nan")
+    a, p = pd.Series(actual).rank().to_numpy(), pd.Series(predicted).rank().to_numpy()
+    return float(np.corrcoef(a, p)[0, 1]) if a.std() > 0 and p.std() > 0 else 0.0
+
+
+def rank_models(train: pd.DataFrame, names: list[str], candidates: tuple[str, ...], how: str, /, **fold_options) -> list[str]:
+    """Candidates by their mean IC over the inner folds of the training rows, best first; those that fail everywhere come last."""
+    scores = {}
+    for model in candidates:
+        ics = []
+        for _, start, end, val_start, val_end in align.fold_bounds(train["period"].min(), train["period"].max(), **fold_options):
+            inside, validate = train[train["period"].between(start, end)], train[train["period"].between(val_start, val_end)]
+            if len(inside) < LEAST_ROWS or validate.empty:
+                continue
+            try:
+                ics.append(_rank_correlation(validate["y"].to_numpy(float), answer(model, inside, validate, names, how)))
+            except (ValueError, np.linalg.LinAlgError):
+                continue
+        known = [x for x in ics if np.isfinite(x)]
+        scores[model] = np.mean(known) if known else -np.inf
+    return sorted(candidates, key=lambda m: (-scores[m], m))
+
+
+def nested(data: DataFrame, names: list[str], candidates: tuple[str, ...], outer: int = 3, least: int = 120, test: int = 24, keep: int = 2, how: str = "robust", **inner) -> DataFrame:
+    """(fold_id, period, actual, predicted, chosen): models are ranked inside each outer training span only; the best `keep` are
+    averaged over its test span. One grouped job; an outer fold needs more than 20 training and 5 test rows."""
+    rows = data.select("period", "y", *names).filter("y is not null")
+    first, last = rows.agg(F.min("period"), F.max("period")).first()
+    bounds = [(k, first, end, start, stop) for k, (end, start, stop) in enumerate(align.outer_folds(first, last, outer, least, test))] if first else []
+    bounds = data.sparkSession.createDataFrame(bounds, "fold_id int, train_start date, train_end date, val_start date, val_end date")
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("period")
+        train, held = group[group["part"] == "train"], group[group["part"] == "validate"]
+        if len(train) <= 20 or len(held) <= 5:
+            return pd.DataFrame(columns=["fold_id", "period", "actual", "predicted", "chosen"])
+        best = rank_models(train, names, candidates, how, **inner)[:keep]
+        said = np.mean([answer(m, train, held, names, how) for m in best], axis=0)
+        return pd.DataFrame({"fold_id": key[0], "period": held["period"], "actual": held["y"], "predicted": said, "chosen": ",".join(best)})
+
+    return align.fold_rows(rows, bounds).groupBy("fold_id").applyInPandas(run, "fold_id int, period date, actual double, predicted double, chosen string")
+
+
 def leaderboard(forecasts: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Per model over its folds: mean and deviation of IC, RMSE, hit rate, the mean IC's t statistic and p-value, and whether it is significant."""
     ic = evaluation.information_coefficient(evaluation.complete(forecasts), "model", "fold_id").drop("n")

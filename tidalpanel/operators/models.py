@@ -1,6 +1,4 @@
-"""Regression models on wide frames, their importances, and the expanding-window tournament.
-
-Only numbers cross to the driver: bounds of folds and one row of metrics a fold and model."""
+"""Regression models of Spark ML on wide frames, their importances and the placebo test. Folds are fitted by learners."""
 
 from __future__ import annotations
 
@@ -11,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.operators import align, evaluation
+from tidalpanel.operators import evaluation
 
 LEAST_ROWS = 20
 
@@ -77,31 +75,6 @@ def linear_contributions(model, data: DataFrame, names: list[str]) -> DataFrame:
     return data.select("period", *parts).unpivot(["period"], names, "feature", "value")
 
 
-def tournament(data: DataFrame, names: list[str], models: tuple[str, ...] = ("ridge", "lasso"), **fold_options) -> DataFrame:
-    """data (period, names, y) -> forecasts (model, fold_id, period, actual, predicted) of all folds' validation rows."""
-    rows = vectors(data.dropna(subset=["y"]), names).select("period", "y", "features").cache()
-    first, last = rows.agg(F.min("period"), F.max("period")).first()
-    out = None
-    for fold_id, train_start, train_end, val_start, val_end in align.fold_bounds(first, last, **fold_options) if first else []:
-        train = rows.filter(F.col("period").between(train_start, train_end))
-        validate = rows.filter(F.col("period").between(val_start, val_end))
-        for name in models:
-            part = FACTORIES[name](train).transform(validate)
-            part = part.select(F.lit(name).alias("model"), F.lit(fold_id).alias("fold_id"), "period", F.col("y").alias("actual"), F.col("prediction").alias("predicted"))
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no fold has enough periods")
-    return out
-
-
-def leaderboard(forecasts: DataFrame) -> DataFrame:
-    """Per model: mean and deviation over folds of IC, RMSE and hit rate, best first by rank."""
-    ic = evaluation.information_coefficient(forecasts, "model", "fold_id").drop("n")
-    folds = evaluation.metrics(forecasts, "model", "fold_id").join(ic, ["model", "fold_id"])
-    out = folds.groupBy("model").agg(F.avg("ic").alias("ic_mean"), F.stddev_pop("ic").alias("ic_sd"), F.avg("rmse").alias("rmse"), F.avg("hit_rate").alias("hit_rate"), F.count(F.lit(1)).alias("folds"))
-    return out.orderBy(F.desc("ic_mean"), "model")
-
-
 def placebo(forecasts: DataFrame, reps: int = 200, seed: int = 7, *keys: str) -> DataFrame:
     """Share of permutations of the actuals whose |IC| is at least that observed; reps copies of the forecasts, ranked once."""
     from pyspark.sql import Window

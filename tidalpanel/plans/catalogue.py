@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidalpanel.functions import windows as w
-from tidalpanel.operators import align, evaluation, inference, preprocess, stats, transforms, validation
+from tidalpanel.operators import align, evaluation, inference, learners, preprocess, stats, transforms, validation
 from tidalpanel.operators import models as models_
 from tidalpanel.plans import panels
 from tidalpanel.plans.panels import dense_sql
@@ -654,7 +654,7 @@ def _(spark, d):
 @query("tournament")
 def _(spark, d):
     data, names = design(spark, d)
-    return shown(models_.leaderboard(models_.tournament(data, names, ("ridge", "lasso"), train=36, validate=12, step=12)), 5)
+    return shown(learners.leaderboard(learners.tournament(data, names, ("ridge", "lasso"), "standard", train=36, validate=12, step=12)), 5)
 
 
 @query("placebo_test")
@@ -675,7 +675,7 @@ def _(spark, d):
 @query("nested_cv")
 def _(spark, d):
     data, names = design(spark, d)
-    return shown(validation.nested(data, names, ("ridge", "lasso"), 2, 48, 12, 1, train=24, validate=12, step=12), 5)
+    return shown(learners.nested(data, names, ("ridge", "lasso"), 2, 48, 12, 1, train=24, validate=12, step=12), 5)
 
 
 @query("pair_stability")
