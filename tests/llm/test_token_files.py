@@ -1,9 +1,11 @@
 """The files against the tokenizers library, and the coding alone."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,14 +20,15 @@ def test_coding(values):
     assert tf.uncode(control, data, len(values)).tolist() == values
 
 
-def test_files(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_files(spark, tmp_path, monkeypatch, ordinary):
     monkeypatch.setattr(tf, "BLOCK_VALUES", 5000)
-    odd = [(None, "no id"), (-5, None), (-5, ""), (-5, ""), (10**6, "x " * 40_000), (3, "<|endoftext|> a\t\tb  \n")]
+    odd = [(None, "no id"), (-5, None), (-5, ""), (-5, ""), (10**6, "x " * 40_000), (3, "<|endoftext|> a\t\tb  \n"), (4, "a <|endoftext|> b"), (4, "<|endoftext|>")]
     docs = spark.createDataFrame(odd, "doc_id long, text string").withColumn("ids", F.lit("extra"))
     docs = docs.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "lang as ids").repartition(5))
     library = Tokenizer.from_file(public_tokenizers.path(tf.TOKENIZER))
-    library.encode_special_tokens = True
-    tf.write(docs, str(tmp_path / "files"))
+    library.encode_special_tokens = ordinary
+    tf.write(docs, str(tmp_path / "files"), ordinary=ordinary)
     got = sorted(tf.read(spark, str(tmp_path / "files")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got][0] is None and [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
     at = 0
@@ -52,3 +55,18 @@ def test_query_and_nothing(spark, tmp_path):
         at += len(ids)
     tf.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"))
     assert tf.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_parts_against_the_library():
+    """Texts of words, white space and marks at random, in batches that share words; the memo is emptied on the way."""
+    rng = random.Random(4)
+    with open(public_tokenizers.path(tf.TOKENIZER), encoding="utf-8") as f:
+        encoder = tf.PieceEncoder(f.read())
+    parts = ["a", "thand", "Don't", "x1", "é", "ñdo,", "end.", "...", "😀", " ", " ", " ", " ", "  ", "\n", "\t", "\u3000", "\u00a0", "<|endoftext|>", "'s", "(b)", "word,", "12", "_"]
+    for k in range(40):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(30)]
+        if k == 20:
+            encoder._forget()
+        n, ids = encoder.encode(pa.array(texts, pa.string()))
+        want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, tf.END_ID] for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
