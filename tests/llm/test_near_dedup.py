@@ -57,6 +57,19 @@ def test_edited_copies(spark, crowded, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == want and 10 < len(want) < 80
 
 
+def test_crowds_lose_no_link_and_need_no_squares(spark, monkeypatch):
+    """Many texts around one passage, with own parts from none to a third, in two families that share half of it."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 5)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage = [word() for _ in range(120)]
+    other = passage[:70] + [word() for _ in range(50)]
+    texts = [" ".join([*base, *[word() for _ in range(rng.randrange(0, 40))]]) for base in (passage, other) for _ in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _kept(docs.collect())
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(docs).collect()) == want and 4 < len(want) < 120
+
+
 def test_stage_drops_edited_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"])
     long = docs.filter("size(split(text, ' ')) between 100 and 2000")

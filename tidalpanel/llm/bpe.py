@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidalpanel.llm.shared import bounded_batches, shared_dir
+from tidalpanel.llm.shared import bounded_batches, released, shared_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 1 << 23
@@ -135,7 +135,7 @@ def _cut(spark: SparkSession, docs: DataFrame, pattern: str, shards: int, bucket
             yield pd.DataFrame(rows, columns=["block", "shard", "words", "doc_id", "sequence"]).astype({"doc_id": "Int64"})
 
     name = f"bpe_cut_{uuid.uuid4().hex}"
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "block long, shard int, words binary, doc_id long, sequence binary")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(released(run), "block long, shard int, words binary, doc_id long, sequence binary")
     writer = out.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/staged/{name}").option("compression", "uncompressed")
     writer.format("parquet").saveAsTable(name)
     return name
@@ -173,7 +173,7 @@ def _answer(asked: DataFrame, raw, pattern: str, shards: int) -> DataFrame:
                 flat = np.frombuffer(b"".join(ids), "<u4")
                 yield pd.DataFrame({"block": [block], "answer": [pack_arrays(steps, planes(counts), planes(flat))]})
 
-    return asked.select("block", "shard", "words").repartition(shards, "shard").mapInPandas(run, "block long, answer binary")
+    return asked.select("block", "shard", "words").repartition(shards, "shard").mapInPandas(released(run), "block long, answer binary")
 
 
 def _assembler(consume: Consumer):

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import SPACE, discard, filter_bits, filter_words, heavy_join, keep_first, maybe_member, shielded, stage, text_or_empty, unshielded
+from tidalpanel.llm.shared import SPACE, bounded_batches, discard, filter_bits, filter_words, heavy_join, keep_first, maybe_member, shielded, stage, text_or_empty, unshielded
 
 #: Rows of one run file.
 MEMTABLE_ROWS = 1_000_000
@@ -54,6 +54,7 @@ def _with_digest(docs: DataFrame, digest_bits: int) -> DataFrame:
 
 def flush(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     """Sorted runs (digest, doc_id, sha, row_key, run), one row a document."""
+    bounded_batches(docs.sparkSession)
     norm = normalised(text_or_empty())
     runs = docs.select("doc_id", F.unhex(F.sha2(norm, 256)).alias("sha"), F.monotonically_increasing_id().alias("row_key"))
     runs = runs.withColumn("digest", F.col("sha") if digest_bits == 256 else F.substring("sha", 1, max(1, digest_bits // 8)))

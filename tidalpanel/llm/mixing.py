@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import SPACE, discard, stage, text_or_empty
+from tidalpanel.llm.shared import SPACE, bounded_batches, discard, stage, text_or_empty
 
 BUCKETS = 4096
 MOST = 3
@@ -49,6 +49,7 @@ def _uniform(doc_id: Column) -> Column:
 
 def _measured(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("x_size", words(text)).withColumn("x_tie", F.md5(text)).withColumn("x_u", _uniform(F.col("doc_id")))
 
 

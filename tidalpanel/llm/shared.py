@@ -21,6 +21,8 @@ KEEP_BITS = 24
 #: Rows and bytes of the Arrow batches that carry texts to Python.
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
+#: Rows that a Parquet reader holds at once: a vector of long texts is one large array.
+READ_ROWS = 512
 #: White space of the text contracts, as a Java and RE2 character class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -63,10 +65,14 @@ def sweep(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to what a worker can hold of long texts; never raises them.
-
-    Plans read the setting when they run, so it stays set."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    """Lower the session's Arrow batches and Parquet vectors to what a worker can hold of long texts; never raises them.
+
+    Plans read the settings when they run, so they stay set."""
+    for name, most in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+        ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS),
+    ):
         now = spark.conf.get(name).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))

@@ -30,13 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalpanel.llm import near_dedup
 from tidalpanel.llm.components import components
+from tidalpanel.llm.near_dedup import CHUNK, SEED
 from tidalpanel.llm.shared import bounded_batches, heavy_join, keep_first, shielded, stage, unshielded
 
-#: Shingles hashed at a time, so that a very long text needs bounded memory.
-CHUNK = 1 << 16
-#: Seed of XXH64.
-SEED = 42
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the (23, 12) Golay code.
@@ -186,10 +184,18 @@ def groups(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
     return heavy_join(prints, of_class, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """docs with one document of each component: that with the smallest id (of repeated
     rows one). Only rows of fingerprints that are shared or linked meet in a shuffle;
-    a bounded filter lets the others pass with their whole texts."""
+    a bounded filter lets the others pass with their whole texts.
+
+    With similarity 0.8, texts are linked by their sets of shingles instead: at that similarity two 64-bit
+    fingerprints differ in about ten bits, which no number of Golay segments can promise to
+    find, so the pairs come from an exact prefix join (near_dedup)."""
+    if similarity is not None:
+        if similarity != near_dedup.SIMILARITY:
+            raise ValueError(f"the prefix join is made for a similarity of {near_dedup.SIMILARITY}")
+        return near_dedup.deduplicate(docs, width)
     marked = shielded(docs, "doc_id", "text").withColumn("x_fp", _fingerprint_udf(docs.sparkSession, width)("text")).drop("text")
     prints = stage(marked.select("doc_id", "x_fp"), "simhash-prints").withColumnRenamed("x_fp", "fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
