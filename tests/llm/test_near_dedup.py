@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidalpanel.llm import near_dedup
+from tidalpanel.llm import near_dedup, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +79,25 @@ def test_stage_drops_edited_copies(spark):
     want = _kept(docs.collect())
     assert sorted(r.doc_id for r in got.collect()) == want and not [i for i in want if i >= 100_000]
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_fingerprints_make_the_first_candidates(spark, monkeypatch):
+    """The stage gets pairs through SimHash and its Golay keys: all sets with fingerprints that are equal or within two bits."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(1500)] for _ in range(12)]
+    texts = [" ".join(b[: len(b) - cut]) for b in base for cut in (0, 1, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("t", F.xxhash64("text"))
+    prints = near_dedup._prints(docs, 5)
+    of, mask = {r.c: r.fp for r in prints.collect()}, 2**64 - 1
+    assert sorted(of.values()) == sorted(r.fp for r in simhash.fingerprints(docs, 5).collect())
+    found = near_dedup._simhash_pairs(prints.select("c", "fp")).collect()
+    assert found and all(((of[r.a] ^ of[r.b]) & mask).bit_count() <= 2 for r in found)
+    group = {c: c for c in of}
+    for r in found:
+        old, new = group[r.a], group[r.b]
+        group = {c: new if g == old else g for c, g in group.items()}
+    assert all(group[a] == group[b] for a in of for b in of if ((of[a] ^ of[b]) & mask).bit_count() <= 2)
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *rest: asked.append(fps.count()) or links(fps, *rest))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs.drop("t"), SF).collect()) == list(range(0, 36, 3))
+    assert asked == [len(set(of.values()))]

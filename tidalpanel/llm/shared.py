@@ -6,8 +6,10 @@ import ctypes
 import functools
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,10 @@ BATCH_BYTES = 8 << 20
 READ_ROWS = 512
 #: White space of the text contracts, as a Java and RE2 character class.
 SPACE = r"\x20\x09-\x0D"
+#: Seed of XXH64.
+SEED = 42
+#: Shingles hashed at a time, so that a very long text needs bounded memory.
+CHUNK = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,6 +105,21 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles in order, repeats included, unsigned, by chunks; a text of fewer words is one shingle, one of none has none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    for at in range(0, n, CHUNK):
+        m = min(CHUNK, n - at)
+        parts = [words[at + k : at + k + m] for k in range(width)]
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*parts, strict=True)), repeat(SEED)), np.uint64, m)
+
+
 def shielded(docs: DataFrame, *needed: str) -> DataFrame:
     """All columns of docs as k_<name>, out of the way of an operator's own names, and those it reads under theirs."""
     return docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in docs.columns], *needed)

@@ -22,18 +22,15 @@ are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.llm import near_dedup
 from tidalpanel.llm.components import components
-from tidalpanel.llm.near_dedup import CHUNK, SEED
-from tidalpanel.llm.shared import bounded_batches, heavy_join, keep_first, shielded, stage, unshielded
+from tidalpanel.llm.shared import bounded_batches, heavy_join, keep_first, shielded, shingle_hashes, stage, unshielded
 
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -56,20 +53,15 @@ _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 def fingerprint(text: str | None, width: int) -> int:
     """Bit k is 1 if it is set in over half the shingles' XXH64 (seed 42); unsigned."""
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        return digest(b" ".join(words), SEED)
-    n = len(words) - width + 1
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        m = min(CHUNK, n - at)
-        parts = [words[at + k : at + k + m] for k in range(width)]
-        counts += _bit_counts(np.fromiter(map(digest, map(b" ".join, zip(*parts, strict=True)), repeat(SEED)), np.uint64, m))
+    return majority(shingle_hashes(text, width))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in parts."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in parts:
+        n += len(hashes)
+        counts += _bit_counts(hashes)
     return int(((2 * counts > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
@@ -189,10 +181,12 @@ def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2, similarity:
     rows one). Only rows of fingerprints that are shared or linked meet in a shuffle;
     a bounded filter lets the others pass with their whole texts.
 
-    With similarity 0.8, texts are linked by their sets of shingles instead: at that similarity two 64-bit
-    fingerprints differ in about ten bits, which no number of Golay segments can promise to
-    find, so the pairs come from an exact prefix join (near_dedup)."""
+    With similarity 0.8, texts are linked by that similarity of their sets of shingles (near_dedup): the pairs that the
+    fingerprints' keys find are verified on whole sets, and as two fingerprints differ in about ten
+    bits then, which no number of Golay segments can promise to find, a prefix join finds the rest."""
     if similarity is not None:
+        from tidalpanel.llm import near_dedup
+
         if similarity != near_dedup.SIMILARITY:
             raise ValueError(f"the prefix join is made for a similarity of {near_dedup.SIMILARITY}")
         return near_dedup.deduplicate(docs, width)
