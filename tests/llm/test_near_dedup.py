@@ -101,3 +101,16 @@ def test_fingerprints_make_the_first_candidates(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda fps, *rest: asked.append(fps.count()) or links(fps, *rest))
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs.drop("t"), SF).collect()) == list(range(0, 36, 3))
     assert asked == [len(set(of.values()))]
+
+
+def test_common_shingles_go_last_however_small_their_share(spark, monkeypatch):
+    """A passage of 60 in 3,000 texts makes no candidates: the share sampled, not a fixed number of texts, finds it."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", 10)
+    rng = random.Random(7)
+    own = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = own(5)
+    texts = [" ".join([*own(20), *(passage if k < 60 else []), *own(20)]) for k in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("t", F.xxhash64("text"))
+    common = int(near_dedup.shingles(" ".join(passage), 5).view("int64")[0])
+    held = near_dedup._prints(docs, 5).filter("doc_id < 60")
+    assert held.count() == 60 and held.filter(F.array_contains("prefix", common)).count() == 0
