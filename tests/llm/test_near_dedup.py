@@ -114,3 +114,23 @@ def test_common_shingles_go_last_however_small_their_share(spark, monkeypatch):
     common = int(near_dedup.shingles(" ".join(passage), 5).view("int64")[0])
     held = near_dedup._prints(docs, 5).filter("doc_id < 60")
     assert held.count() == 60 and held.filter(F.array_contains("prefix", common)).count() == 0
+
+
+def test_families_of_near_copies_need_no_square_of_checks(spark, monkeypatch):
+    """Copies with a word or two replaced, most of them similar to most others: few pairs are verified, and no link is missed."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 5)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    texts = []
+    for n in (70, 130):
+        base = [word() for _ in range(n)]
+        for _ in range(120):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(n)] = word()
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    checked, verified = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest, **more: checked.append(pairs.count()) or verified(pairs, *rest, **more))
+    got = sorted(r.doc_id for r in near_dedup.deduplicate(docs).collect())
+    assert got == _kept(docs.collect()) and sum(checked) < 4 * len(texts), checked
