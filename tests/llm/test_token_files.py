@@ -70,3 +70,27 @@ def test_parts_against_the_library():
         n, ids = encoder.encode(pa.array(texts, pa.string()))
         want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, tf.END_ID] for t in texts]
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_rows_are_gathered_and_ids_packed_narrowly():
+    """Small batches are encoded together, in order and whole; ids below 2**16 take two bytes before compression."""
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(n, n + m)), "text": ["x" * 9] * m}) for n, m in ((0, 3), (3, 0), (3, 4), (7, 1))]
+    got = list(tf._gathered(iter(batches)))
+    assert len(got) == 1 and got[0].column("k").to_pylist() == list(range(8)) and not list(tf._gathered(iter([])))
+    rng = np.random.default_rng(1)
+    for top, most in ((1 << 16, 2), (1 << 32, 4)):
+        ids = rng.integers(0, top, 5000, np.uint32)
+        assert np.array_equal(tf._unsqueeze(tf._squeeze(ids)), ids) and tf._squeeze(ids)[0] == most
+    assert not len(tf._unsqueeze(tf._squeeze(ids[:0])))
+
+
+def test_a_worker_keeps_its_encoder():
+    """The next task of a worker gets the words that the last one knew, but no encoder of other rules or of a task that has not ended."""
+    with open(public_tokenizers.path(tf.TOKENIZER), encoding="utf-8") as f:
+        definition = f.read()
+    first = tf._lent(definition, False)
+    assert tf._lent(definition, False) is not first
+    tf._kept(first)
+    assert tf._lent(definition, False) is first
+    tf._kept(first)
+    assert tf._lent(definition, True) is not first and not tf._KEPT

@@ -14,7 +14,7 @@ size); a range partitioning of the packed ids by doc_id, so shards follow each o
 coding. Texts are never shuffled. Every step is a committed table, so a lost executor repeats its
 own tasks only. Starts come from the shards' totals: one row a shard.
 
-The tokenizers library encodes each distinct word once per task and memo. Strings of
+The tokenizers library encodes each distinct word once per worker and memo. Strings of
 added tokens are what the library makes of them (add_special_tokens=False adds none).
 
 Defined results: null text is empty (its end id alone); null doc_ids come first; rows of
@@ -24,6 +24,7 @@ block; an empty table gives empty files; extra columns are ignored, whatever the
 
 from __future__ import annotations
 
+import functools
 import os
 import string
 import uuid
@@ -45,9 +46,11 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Values of a block, or one longer document.
 BLOCK_VALUES = 1 << 20
-#: Distinct words that a task remembers before it starts anew (a bound of its memory; ids do not depend on it), and how many new ones are encoded as one text.
+#: Distinct words that a worker remembers, from task to task, before it starts anew (a bound of its memory; ids do not depend on it), and how many new ones are encoded as one text.
 MEMO_PIECES = 800_000
 RUN = 64
+#: Bytes of rows encoded at a time.
+GATHERED = 8 << 20
 #: How a byte-level vocabulary writes a space; ASCII letters stand for themselves.
 SPACE_MARK = "Ġ"
 #: Bytes of the values of each control byte.
@@ -109,6 +112,7 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.definition, self.ordinary = definition, ordinary
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = ordinary
         self.added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -189,9 +193,11 @@ class PieceEncoder:
         """ASCII letters after a space are one piece for the library's model; of other pieces that start with a space
         many go in one text, as ids never cross the space between two of them; the rest go alone."""
         counts, flats, order = [], [], []
-        letters = [(n, name) for n, name in spaced if name.isascii() and name.isalpha()]
+        letters, others = [], []
+        for pair in spaced:
+            (letters if pair[1].isascii() and pair[1].isalpha() else others).append(pair)
+        spaced = others
         if letters:
-            spaced = [(n, name) for n, name in spaced if not (name.isascii() and name.isalpha())]
             tokenize, flat, size = self.tokenizer.model.tokenize, [], []
             for _, name in letters:
                 found = tokenize(SPACE_MARK + name)
@@ -280,18 +286,25 @@ class PieceEncoder:
         return np.add.reduceat(many, np.cumsum(sizes) - sizes), ids
 
 
-def _squeeze(ids: np.ndarray) -> bytes:
+@functools.cache
+def _zstd():
+    """One compressor and one decompressor a process: making them costs more than a short text does."""
     import zstandard
 
-    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _unsqueeze(blob: bytes) -> np.ndarray:
-    import zstandard
+def _squeeze(ids: np.ndarray) -> bytes:
+    """The byte planes of the ids, compressed, as many as the largest id needs (2 or 4), after their number."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    planes = np.ascontiguousarray(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + _zstd()[0].compress(planes)
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+def _unsqueeze(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(_zstd()[1].decompress(memoryview(blob)[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype("<u4", copy=False)
 
 
 def code(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -317,14 +330,46 @@ def uncode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: The encoder that a worker's last whole task has left, for its next one.
+_KEPT: list[PieceEncoder] = []
+
+
+def _lent(definition: str, ordinary: bool) -> PieceEncoder:
+    """The worker's encoder, taken out until its task has ended well, or a new one."""
+    found = _KEPT.pop() if _KEPT else None
+    return found if found and (found.definition, found.ordinary) == (definition, ordinary) else PieceEncoder(definition, ordinary)
+
+
+def _kept(encoder: PieceEncoder) -> None:
+    _KEPT[:] = [encoder]
+
+
+def _take(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return kept[0] if len(kept) == 1 else pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GATHERED bytes or one longer batch, so that words of many texts are looked up once."""
+    kept, size = [], 0
+    for batch in batches:
+        if kept and size + batch.nbytes > GATHERED:
+            yield _take(kept)
+            kept, size = [], 0
+        if len(batch):
+            kept.append(batch)
+            size += batch.nbytes
+    if kept:
+        yield _take(kept)
+
+
 def _encoded(docs: DataFrame, definition: str, ordinary: bool) -> DataFrame:
     """Staged (doc_id, tie, n, ids); a row with n null has the counts of a task's ids."""
     text = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = PieceEncoder(text.value, ordinary), np.zeros(0, np.int64)
+        encoder, counts = _lent(text.value, ordinary), np.zeros(0, np.int64)
         names = ["doc_id", "tie", "n", "ids"]
-        for batch in batches:
+        for batch in _gathered(batches):
             n, ids = encoder.encode(batch.column("text"))
             seen = np.bincount(ids, minlength=len(counts))
             seen[: len(counts)] += counts
@@ -332,6 +377,7 @@ def _encoded(docs: DataFrame, definition: str, ordinary: bool) -> DataFrame:
             packed = pa.array([_squeeze(i) for i in np.split(ids, np.cumsum(n)[:-1])] if len(n) else [], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), packed], names)
         some = np.flatnonzero(counts)
+        _kept(encoder)
         packed = _squeeze(np.concatenate([some, counts[some] & 0xFFFFFFFF, counts[some] >> 32]))
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], names)
 
