@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidalpanel.llm import near_dedup, simhash
+from tidalpanel.llm import components, near_dedup, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +134,30 @@ def test_families_of_near_copies_need_no_square_of_checks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest, **more: checked.append(pairs.count()) or verified(pairs, *rest, **more))
     got = sorted(r.doc_id for r in near_dedup.deduplicate(docs).collect())
     assert got == _kept(docs.collect()) and sum(checked) < 4 * len(texts), checked
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars around their smallest nodes, in either direction and repeated, are written once: no round only finds that nothing changed."""
+    written, stage = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name, *rest: written.append(name) or stage(df, name, *rest))
+    stars = [(1, k) for k in range(2, 40)] + [(k, 50) for k in range(51, 60)] + [(7, 1), (9, 9)]
+    found = components.components(spark.createDataFrame(stars, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == {k: 1 for k in range(1, 40)} | {k: 50 for k in range(50, 60)}
+    assert found.count() == 49 and written == ["links"]
+    chain = spark.createDataFrame([(0, 1), (5, 4), (2, 1), (3, 4), (3, 2)], "a long, b long")
+    assert sorted(tuple(r) for r in components.components(chain).collect()) == [(k, 0) for k in range(6)] and len(written) > 2
+
+
+def test_turns_leave_little_garbage_to_the_driver(spark, monkeypatch):
+    """The driver collects its garbage between the phases and turns, and each turn's components start from the stars found before."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 5)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(90)]
+    texts = [" ".join([*base[:at], "x", *base[at + 1 :], *[f"w{rng.randrange(10**7)}" for _ in range(rng.randrange(0, 12))]]) for at in (rng.randrange(90) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    calls, collected, linked = [], near_dedup.collected, near_dedup.components
+    monkeypatch.setattr(near_dedup, "collected", lambda s: calls.append("collected") or collected(s))
+    monkeypatch.setattr(near_dedup, "components", lambda links: calls.append("components") or linked(links))
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(docs).collect()) == _kept(docs.collect())
+    turns = [k for k, x in enumerate(calls) if x == "components"]
+    assert len(turns) > 1 and all("collected" in calls[a:b] for a, b in zip(turns, turns[1:], strict=False)), calls

@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
 No task sees more than the links of its own keys, those of hubs stay where they are
-(shared.heavy_join), minima combine before the shuffle, and every round is written to the shared folder. Nothing of the graph
-reaches the driver but a count and a checksum.
+(shared.heavy_join), minima combine before the shuffle, and every round is written to the shared folder. Links that are
+stars already take no round, so no last one only repeats its predecessor. Nothing of the graph
+reaches the driver but two counts.
 """
 
 from __future__ import annotations
@@ -34,26 +35,28 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row["n"], row["x"]
+def _state(links: DataFrame) -> tuple[int, int]:
+    """How many links (a, b), a > b, there are, and how many nodes keep them from being stars around their smallest nodes."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    row = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if(F.expr("up + down > 1 and up > 0")).alias("open")).first()
+    return row["n"], row["open"]
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b), in either direction, repeats and self links allowed, any orderable
     type -> (node, root): root is the smallest node reachable. Nodes without a link to
     another node have no row. An empty table gives an empty table."""
-    now = stage(links.select("a", "b").filter("a <> b").distinct(), "links")
-    state = _state(now)
+    down = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = stage(down.distinct(), "links")
+    total, still_open = _state(now)
     for _ in range(most_rounds):
-        if not state[0]:
-            break
-        after = stage(_small_star(_large_star(now, state[0])), "links")
-        discard(now)
-        now, before = after, state
-        state = _state(now)
-        if state == before:
+        if not still_open:
             break
+        before, now = now, stage(_small_star(_large_star(now, total)), "links")
+        discard(before)
+        total, still_open = _state(now)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -70,6 +70,13 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the driver collect its garbage. Broadcasts, shuffle files and plans of many small queries stay until it does, on executors
+    too; a driver that has room left puts it off."""
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches and Parquet vectors to what a worker can hold of long texts; never raises them.
 
