@@ -132,3 +132,27 @@ def test_odd_rows(spark):
     for few in (labels.limit(0), labels.filter("toxic = 0")):
         assert {r.predicted for r in tox.scores(docs, few).collect()} == {0}
     assert tox.scores(docs.limit(0), labels).count() == 0
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """150,000 labelled rows, of which about 120,000 may be learned from; words that only six toxic texts hold are learned, so no row is left out."""
+    ids = [i for i in range(0, 150_000, 10) if zlib.crc32(str(i).encode()) % 5]
+    rare = spark.createDataFrame([(ids[100 * k + j * 2_000], f"q{k}rare") for k in range(15) for j in range(6)], "doc_id long, rare string")
+    rows = spark.range(150_000).selectExpr("id AS doc_id", "concat('first', id, ' second', id) AS text", "int(id % 10 = 0) AS toxic").join(F.broadcast(rare), "doc_id", "left")
+    rows = rows.select("doc_id", F.concat_ws(" ", "text", "rare").alias("text"), "toxic")
+    learnable = {r["toxic"]: r["count"] for r in rows.filter("crc32(string(doc_id)) % 5 <> 0").groupBy("toxic").count().collect()}
+    texts, n_toxic, n_clean = tox._training(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert learnable[0] + learnable[1] > 110_000 and (n_toxic, n_clean) == (learnable[1], learnable[0])
+    assert {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()} == learnable
+    assert {f"q{k}rare" for k in range(15)} <= set(tox.learn_lexicon(texts, n_toxic, n_clean))
+
+
+def test_sums_of_tasks_fit_the_model(spark):
+    """Newton's steps by sums of several tasks against gradients of all rows at once."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (300, tox.CLASSES)) * (rng.random((300, tox.CLASSES)) < 0.2).astype(float)
+    y, n = (np.log1p(x) @ tox._prior() + rng.normal(size=300) > 3).astype(int), rng.integers(1, 5, 300)
+    rows = spark.createDataFrame([(int(a), b.tolist(), int(c)) for a, b, c in zip(y, x, n, strict=True)], "toxic int, x array<double>, n long").repartition(7)
+    weights, intercept = tox._fit(rows)
+    full, w, prior = np.column_stack([np.log1p(x), np.ones(300)]), np.append(weights, intercept), np.append(tox._prior(), tox.INTERCEPT)
+    assert np.abs(full.T @ (n * (1 / (1 + np.exp(-full @ w)) - y)) + tox.PULL * (w - prior)).max() < 1e-5

@@ -164,6 +164,14 @@ def filter_words(keys: DataFrame, hash_column: Column, bits: int) -> DataFrame:
     )
 
 
+def filter_array(keys: DataFrame, hash_column: Column, bits: int) -> np.ndarray:
+    """The filter of filter_words() as an array of 2**(bits - 6) unsigned words, for use in Python workers."""
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for row in filter_words(keys, hash_column, bits).collect():
+        out[row["f_word"]] = row["f_bits"] & (2**64 - 1)
+    return out
+
+
 def maybe_member(df: DataFrame, filter_: DataFrame, hash_column: Column, bits: int, keep_rest: bool = False) -> DataFrame:
     """Rows of df that the filter may hold; with keep_rest all rows, marked by f_hit. The filter is broadcast: its size is bounded by bits."""
     slot = F.shiftrightunsigned(hash_column, 64 - bits)

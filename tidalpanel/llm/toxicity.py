@@ -18,8 +18,9 @@ its marks. A threat has a weight without being learned. A document's features ar
 summed by class; a logistic model, drawn towards prior weights for negated, reported, aimed and
 threatening clauses, turns them into a score.
 
-Bounds: the model is fitted on at most about SAMPLE_ROWS labelled rows, taken by a hash
-of the id; what is broadcast or gathered comes from that sample alone. Scoring reads every whole
+Scale: every labelled row that may be learned from is learned from. Those texts, found by a bounded filter of the ids, meet
+their labels in one shuffle and are written once; candidates are counted and tested in tables, and the logistic model takes sums of 306
+numbers a task, so only the lexicon of words that pass reaches the driver. Scoring reads every whole
 text and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without matches; without
@@ -41,9 +42,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalpanel.llm.shared import bounded_batches, discard, released, shielded, stage, unshielded
+from tidalpanel.llm.shared import SEED, bounded_batches, collected, discard, filter_array, filter_bits, filter_words, maybe_member, released, shielded, stage, unshielded
 
-SAMPLE_ROWS = 100_000
+#: Bits of the filters of labelled ids and of candidates: at most 2**18 and 2**17 words of 64.
+ID_BITS = 24
+NAME_BITS = 23
+#: Words and counts that a task remembers; then it begins anew.
+MEMO_WORDS = 250_000
 #: Lengths of the stems that are tried, besides whole words; a stem must be shared by so many words.
 STEMS = (4, 5)
 STEM_WORDS = 3
@@ -247,14 +252,17 @@ class Grammar:
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """(text, toxic) of the labelled rows that may be learned from, and their numbers; the labels broadcast are at most about SAMPLE_ROWS."""
+    """(text, toxic) of all labelled rows that may be learned from, written, and the numbers of such labels; a bounded filter
+    lets the other texts stay where they are."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.expr("int(toxic <> 0)")).alias("toxic"))
-    known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = known.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / max(1, rows)))
-    sample = stage(known.filter(share), "toxic-sample")
-    count = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), count.get(1, 0), count.get(0, 0)
+    known = stage(known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "toxic-known")
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    bits = filter_bits(sum(count.values()), ID_BITS)
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    words = stage(filter_words(known, hashed, bits), "toxic-filter")
+    texts = stage(maybe_member(docs.select("doc_id", "text"), words, hashed, bits).join(known, "doc_id").select("text", "toxic"), "toxic-texts")
+    discard(known, words)
+    return texts, count.get(1, 0), count.get(0, 0)
 
 
 def _words(text: str | None) -> set[str]:
@@ -275,28 +283,53 @@ def _toxic_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(released(run), "word string, sig long")
 
 
-def _clean_counts(texts: DataFrame, names: list[str]) -> dict[str, int]:
-    """How many clean texts hold each candidate."""
-    wanted = frozenset(names)
-    heads = {w[: min(STEMS)] for w in names}
-    cut = min(STEMS)
+def _clean_counts(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, c): how many clean texts hold each candidate; of other names those that the bounded filter of candidates lets through."""
+    wanted = texts.sparkSession.sparkContext.broadcast(filter_array(names, F.xxhash64("word"), NAME_BITS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        memo: dict[str, list[str]] = {}
+        n: dict[str, int] = {}
+
+        def candidates(word: str) -> list[str]:
+            names = [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+            slots = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED) >> (64 - NAME_BITS) for x in names]
+            return [x for x, slot in zip(names, slots, strict=True) if int(wanted.value[slot >> 6]) >> (slot & 63) & 1]
+
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame({"word": pd.Series(list(n), dtype=object), "c": np.fromiter(n.values(), np.int64, len(n))})
+
         for batch in batches:
-            n: dict[str, int] = {}
             for text in batch["text"]:
-                found = {w for w in _words(text) if w[:cut] in heads}
-                for name in (found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}) & wanted:
+                held: set[str] = set()
+                for word in _words(text):
+                    found = memo.get(word)
+                    if found is None:
+                        if len(memo) >= MEMO_WORDS:
+                            memo.clear()
+                        found = memo[word] = candidates(word)
+                    held.update(found)
+                for name in held:
                     n[name] = n.get(name, 0) + 1
-            yield pd.DataFrame({"name": pd.Series(list(n), dtype=object), "n": np.fromiter(n.values(), np.int64, len(n))})
+            if len(n) >= MEMO_WORDS:
+                yield counted()
+                n.clear()
+        yield counted()
+
+    return texts.select("text").mapInPandas(released(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
 
-    return {r["name"]: r["n"] for r in texts.select("text").mapInPandas(released(run), "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()}
+def _likelihood_ratio(na: int, nb: int) -> Column:
+    """Of t of na toxic texts against c of nb clean ones."""
 
+    def part(seen: Column, due: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / F.greatest(due, F.lit(1e-12)))).otherwise(0.0)
 
-def _likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
-    rate = (a + b) / (na + nb)
-    part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-12)), 0.0)
-    return 2 * (part(a, rate * na) + part(b, rate * nb) + part(na - a, (1 - rate) * na) + part(nb - b, (1 - rate) * nb))
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
+    rate = (t + c) / F.lit(float(na + nb))
+    return 2 * (part(t, rate * na) + part(c, rate * nb) + part(na - t, (1 - rate) * na) + part(nb - c, (1 - rate) * nb))
 
 
 def learn_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -313,30 +346,47 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, flo
     limit = 2 * np.log(max(2, counted.count()))
     # a candidate unseen in clean texts needs at least so many toxic ones to pass the test
     least = max(3, int(limit / (2 * np.log((n_toxic + n_clean) / n_toxic))))
-    top = counted.filter(f"t >= {least} and n_words >= {STEM_WORDS}").orderBy(F.desc("t"), "word").collect()
+    names = stage(counted.filter(f"t >= {least} and n_words >= {STEM_WORDS}").select("word", "t"), "toxic-names")
     discard(seen, counted)
-    names = [r["word"] for r in top]
-    clean = _clean_counts(texts.filter("toxic = 0"), names)
-    t = np.array([r["t"] for r in top], float)
-    c = np.array([clean.get(n, 0) for n in names], float)
-    ratio = _likelihood_ratio(t, c, groups, n_clean)
-    precise = t / np.maximum(1, t + c) >= PRECISION
+    both = names.join(_clean_counts(texts.filter("toxic = 0"), names), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    passed = both.filter(F.col("t") / (F.col("t") + F.col("c")) >= PRECISION).filter(_likelihood_ratio(groups, n_clean) > float(limit))
+    rows = passed.orderBy(F.desc("t"), "word").collect()
+    discard(names)
+    t, c = np.array([r["t"] for r in rows], float), np.array([r["c"] for r in rows], float)
     odds = np.log((t + 0.5) / (groups + 1)) - np.log((c + 0.5) / (n_clean + 1))
-    return {names[i]: float(odds[i]) for i in np.flatnonzero((ratio > limit) & precise)}
+    return {r["word"]: float(x) for r, x in zip(rows, odds, strict=True)}
+
+
+def _sums(rows: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Gradient and, row by row, Hessian of the logistic loss of rows (toxic, x, n) at w: one row of sums a task."""
+    size = len(w)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(size + size * size)
+        for batch in batches:
+            full = np.column_stack([_squash(np.array(batch["x"].tolist()).reshape(-1, size - 1)), np.ones(len(batch))])
+            n, y = batch["n"].to_numpy(float), batch["toxic"].to_numpy(float)
+            p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+            out[:size] += full.T @ (n * (p - y))
+            out[size:] += ((full * (n * p * (1 - p))[:, None]).T @ full).ravel()
+        yield pd.DataFrame({"sums": [out]})
+
+    return sum((np.array(r["sums"]) for r in rows.mapInPandas(run, "sums array<double>").collect()), np.zeros(size + size * size))
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic weights, drawn towards the prior, by Newton's method."""
+def _fit(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """Logistic weights, drawn towards the prior, by Newton's method; rounded, so that the order of sums does not show."""
     w = np.append(_prior(), INTERCEPT)
-    prior, full = w.copy(), np.column_stack([x, np.ones(len(x))])
+    prior = w.copy()
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        grad = full.T @ (p - y) + PULL * (w - prior)
-        hess = (full * (p * (1 - p))[:, None]).T @ full + PULL * np.eye(len(w))
+        sums = _sums(rows, w)
+        grad = sums[: len(w)] + PULL * (w - prior)
+        hess = sums[len(w) :].reshape(len(w), -1) + PULL * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
+    w = np.round(w, 9)
     return w[:-1], float(w[-1])
 
 
@@ -350,6 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     texts, n_toxic, n_clean = _training(docs, labels)
     lexicon = learn_lexicon(texts, n_toxic, n_clean)
     if not lexicon:
+        discard(texts)
         share = n_toxic / (n_toxic + n_clean + 1)
         return {"lexicon": {}, "weights": np.zeros(CLASSES), "intercept": float(np.log(share / (1 - share))) if share else -40.0}
 
@@ -359,10 +410,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             found = np.array([grammar.features(t) for t in batch["text"]]).reshape(-1, CLASSES)
             yield pd.DataFrame({"toxic": batch["toxic"].to_numpy(), "x": list(found)})
 
-    rows = texts.mapInPandas(released(run), "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "x").collect()
-    n = [r["n"] for r in rows]
-    x = np.repeat(_squash(np.array([r["x"] for r in rows])), n, axis=0)
-    weights, intercept = _fit(x, np.repeat([r["toxic"] for r in rows], n).astype(float))
+    rows = texts.mapInPandas(released(run), "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(rows, "toxic-features")
+    discard(texts)
+    weights, intercept = _fit(rows)
+    discard(rows)
+    collected(docs.sparkSession)
     return {"lexicon": lexicon, "weights": weights, "intercept": intercept}
 
 
