@@ -253,14 +253,14 @@ class Grammar:
 
 def _training(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
     """(text, toxic) of all labelled rows that may be learned from, written, and the numbers of such labels; a bounded filter
-    lets the other texts stay where they are."""
+    lets the other texts stay where they are. Labels may outgrow a broadcast, so they are merged at every size."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.expr("int(toxic <> 0)")).alias("toxic"))
     known = stage(known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "toxic-known")
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     bits = filter_bits(sum(count.values()), ID_BITS)
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
     words = stage(filter_words(known, hashed, bits), "toxic-filter")
-    texts = stage(maybe_member(docs.select("doc_id", "text"), words, hashed, bits).join(known, "doc_id").select("text", "toxic"), "toxic-texts")
+    texts = stage(maybe_member(docs.select("doc_id", "text"), words, hashed, bits).join(known.hint("merge"), "doc_id").select("text", "toxic"), "toxic-texts")
     discard(known, words)
     return texts, count.get(1, 0), count.get(0, 0)
 
