@@ -11,9 +11,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Share of the driver's heap in use from which a staged table has its garbage collected.
+HEAP_SHARE = 0.3
 #: Used only where a session on one machine names no folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/tidalpanel"
 #: A key with more than one in so many of all rows is heavy; so there are fewer than so many heavy keys.
@@ -49,6 +52,9 @@ def stage(df: DataFrame, name: str, compression: str | None = None, **options: s
     if compression:
         writer = writer.option("compression", compression)
     writer.parquet(path)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()  # noqa: SLF001
+    if runtime.totalMemory() - runtime.freeMemory() > HEAP_SHARE * runtime.maxMemory():
+        collected(spark)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_path = path  # noqa: SLF001
     return back
@@ -72,9 +78,19 @@ def sweep(spark: SparkSession) -> None:
 
 def collected(spark: SparkSession) -> None:
     """Have the driver collect its garbage. Broadcasts, shuffle files and plans of many small queries stay until it does, on executors
-    too; a driver that has room left puts it off."""
+    too; a driver that has room left puts it off. What its hundreds of threads and its compilers have freed beside the heap
+    goes back to the system, where the JVM has a command for it (17 and later, on Linux)."""
     gc.collect()
-    spark._jvm.System.gc()  # noqa: SLF001
+    jvm = spark._jvm  # noqa: SLF001
+    jvm.System.gc()
+    # by reflection: the server's own class is not open to py4j
+    run = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # noqa: SLF001
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        run.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:  # another JVM
+        pass
 
 
 def bounded_batches(spark: SparkSession) -> None:
